@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-QUERY_MODULES = ["scores"]
+QUERY_MODULES = ["scores", "intake", "operations"]
 
 
 def load_queries() -> None:

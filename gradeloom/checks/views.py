@@ -151,7 +151,8 @@ select assignment_id, person_id, min(dir_name) as folder, 'reviewed' as reason
 from f_uploads where user_id % 17 = 0 group by assignment_id, person_id"""
 
 VIEWS["f_known_people"] = """
-select 'S' || lpad(cast(user_id + 1 as varchar(20)), 3, '0') as student_id,
+select 'S' || case when user_id < 999 then lpad(cast(user_id + 1 as varchar(20)), 3, '0')
+    else cast(user_id + 1 as varchar(20)) end as student_id,
   'K' || (user_id % 3) as course_id, cast(user_id as varchar(20)) as lms_person_id,
   'u' || user_id as lms_username, 'User ' || user_id as display_name, 'brightspace' as source
 from (select distinct user_id from events where user_id % 10 <> 0) e"""
@@ -197,7 +198,7 @@ from part join (select distinct l_partkey from lineitem where l_suppkey % 10 = 0
   on p_partkey = l_partkey"""
 
 VIEWS["f_planned"] = """
-select item_id, item_identity, cast(3 as bigint) as target, 'grade' as stage
+select item_id, item_identity, cast(3 as bigint) as attempts, 'grade' as stage
 from (select distinct item_id, item_identity from f_trials0 where stage = 'grade') p
 union all
 select item_id, item_identity || '-new', cast(3 as bigint), 'grade'
