@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-QUERY_MODULES = ["scores", "intake", "operations"]
+QUERY_MODULES = ["scores", "intake", "operations", "records"]
 
 
 def load_queries() -> None:

@@ -247,6 +247,7 @@ class SparkViews:
         self.spark = spark
         self.folder = folder
         self._built: dict[str, DataFrame] = {}
+        self._pairs: dict[str, tuple[DataFrame, ...]] = {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self._built:
@@ -268,6 +269,14 @@ class SparkViews:
             self._built[name] = build().persist(StorageLevel.MEMORY_AND_DISK)
         return self._built[name]
 
+    def kept_pair(self, name: str, build: Callable[[], tuple[DataFrame, ...]]):
+        """Several derived tables built together, each persisted on first use."""
+        if name not in self._pairs:
+            self._pairs[name] = tuple(
+                df.persist(StorageLevel.MEMORY_AND_DISK) for df in build()
+            )
+        return self._pairs[name]
+
     @property
     def trials(self) -> DataFrame:
         """The trials view with superseded judgments marked."""
@@ -292,10 +301,11 @@ class SparkViews:
     def sql(self, text: str) -> DataFrame:
         """Run common SQL with views and base tables bound by name."""
         text = text.replace("'[^0-9]', '', 'g'", "'[^0-9]', ''")
+        text = text.replace("{", "{{").replace("}", "}}")
         text = re.sub(r"(?<!\w)(f_\w+)", lambda m: "{" + m[1] + "}" if m[1] in VIEWS else m[1], text)
         text = _TABLE.sub(lambda m: m[0].replace(m[1], "{" + m[1] + "}"), text)
         bound = {}
-        for name in set(re.findall(r"\{(\w+)\}", text)):
+        for name in set(re.findall(r"(?<!\{)\{(\w+)\}", text)):
             bound[name] = getattr(self, name[2:] if name.startswith("f_") else name)
         return self.spark.sql(text, **bound)
 

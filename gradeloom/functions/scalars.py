@@ -102,17 +102,32 @@ def duration_seconds(started: Column, finished: Column) -> Column:
     )
 
 
+def _decimal_format(value: Column, pattern: str) -> Column:
+    # Decimal patterns round the exact binary value half to even.
+    return F.call_function("format_number", value, F.lit(pattern))
+
+
 def format_general(value: Column) -> Column:
     """Six significant digits without trailing zeros, like the ``g`` format."""
-    text = F.format_string("%.6g", value.cast("double"))
-    short = F.regexp_replace(text, r"\.?0+(e[+-]\d+)?$", "$1")
-    return F.when(value.isNotNull(), F.when(text.contains("."), short).otherwise(text))
+    number = value.cast("double")
+    scientific = _decimal_format(number, "0.#####E0")
+    exponent = F.split(scientific, "E")[1].cast("int")
+    text = F.concat(
+        F.split(scientific, "E")[0],
+        F.when(exponent < 0, "e-").otherwise("e+"),
+        F.when(F.abs(exponent) < 10, "0").otherwise(""),
+        F.abs(exponent).cast("string"),
+    )
+    for power in range(-4, 6):
+        digits = "#" * (5 - power)
+        pattern = "0." + digits if digits else "0"
+        text = F.when(exponent == power, _decimal_format(number, pattern)).otherwise(text)
+    return F.when(number.isNotNull(), text)
 
 
 def format_grade(value: Column) -> Column:
-    """Six decimals without trailing zeros; the text always has a dot to strip to."""
-    text = F.format_string("%.6f", value.cast("double"))
-    return F.when(value.isNotNull(), F.regexp_replace(text, r"\.?0+$", ""))
+    """Up to six decimals, trailing zeros and dot left out."""
+    return _decimal_format(value.cast("double"), "0.######")
 
 
 def _length_prefix(blob: Column) -> Column:
