@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-QUERY_MODULES = ["scores", "intake", "operations", "records"]
+QUERY_MODULES = ["scores", "intake", "operations", "records", "courses"]
 
 
 def load_queries() -> None:

@@ -642,7 +642,23 @@ def general_format(v):
     )
 
 
-@query("n10_parts_digest")
+def _blob(label: str, value: str) -> str:
+    """One labelled, length-prefixed part as DuckDB blob SQL; an absent value adds nothing."""
+    return (
+        f"coalesce(encode('{label}') || unhex('00') || unhex(format('{{:016x}}', strlen({value})))"
+        f" || encode({value}), unhex(''))"
+    )
+
+
+_HEADER = "encode('aat-parts-sha256-v1') || unhex('00')"
+
+
+@query(
+    "n10_parts_digest",
+    f"""select o_orderkey, sha256({_HEADER} || {_blob("status", "o_orderstatus")}
+      || {_blob("priority", "case when o_orderkey % 2 = 0 then o_orderpriority end")}) as digest
+    from orders""",
+)
 def parts_digest(v):
     parts = [
         ("status", F.col("o_orderstatus"), None),
@@ -651,7 +667,19 @@ def parts_digest(v):
     return v.orders.select("o_orderkey", N.parts_digest(parts).alias("digest"))
 
 
-@query("n11_item_identities")
+@query(
+    "n11_item_identities",
+    f"""select o_orderkey, config_identity, sha256({_HEADER}
+      || {_blob("config-identity", "config_identity")} || {_blob("environment", "'environment'")}
+      || {_blob("rubric", "case when o_orderkey % 3 = 0 then o_orderpriority end")}
+      || {_blob("prior-gradings", "case when o_orderkey % 5 = 0 then md5(o_orderstatus) end")})
+      as item_identity
+    from (select *, sha256({_HEADER} || {_blob("config", "o_orderstatus")}
+        || {_blob("prompt", "o_orderpriority")} || {_blob("verifier", "'verify'")}
+        || {_blob("task-toml", "'settings'")}
+        || {_blob("rubric-override", "case when o_orderkey % 2 = 0 then 'strict' end")})
+        as config_identity from orders) o""",
+)
 def item_identities(v):
     config = N.config_identity(
         F.col("o_orderstatus"), F.col("o_orderpriority"), F.lit("verify"), F.lit("settings"),

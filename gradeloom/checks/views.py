@@ -261,6 +261,9 @@ class SparkViews:
             return self.table(name)
         if name not in self._built:
             self._built[name] = self.sql(VIEWS["f_" + name])
+            if name.endswith("_docs"):
+                # Stands for stored files: the text is built once, not per use.
+                self._built[name].persist(StorageLevel.MEMORY_AND_DISK)
         return self._built[name]
 
     def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
