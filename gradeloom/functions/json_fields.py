@@ -71,3 +71,41 @@ def bool_field(document: Column, path: str) -> Column:
     return F.when(
         json_type(document, path) == "BOOLEAN", F.try_variant_get(document, path, "boolean")
     )
+
+
+def members(document: Column, path: str, names: list[str]) -> Column:
+    """The named members of an object as one struct of VARIANT values.
+
+    One extraction instead of one per member; NULL when the path holds no object.
+    """
+    kind = ", ".join(f"{name}: variant" for name in names)
+    return F.try_variant_get(document, path, f"struct<{kind}>")
+
+
+def elements(document: Column, path: str = "$") -> Column:
+    """The elements of an array as VARIANT values, NULL when it is no array."""
+    return F.try_variant_get(document, path, "array<variant>")
+
+
+def as_text(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def as_number(value: Column) -> Column:
+    return F.when(
+        _is_number_type(F.schema_of_variant(value)), F.try_variant_get(value, "$", "double")
+    )
+
+
+def as_int(value: Column) -> Column:
+    return F.when(F.schema_of_variant(value) == "BIGINT", F.try_variant_get(value, "$", "long"))
+
+
+def as_bool(value: Column) -> Column:
+    return F.when(
+        F.schema_of_variant(value) == "BOOLEAN", F.try_variant_get(value, "$", "boolean")
+    )
+
+
+def value_is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
