@@ -29,7 +29,8 @@ VIEWS["f_lines"] = """
 select l_orderkey as ok, l_partkey as pk, l_suppkey as sk, l_linenumber as ln, o_custkey as ck,
   l_extendedprice as ep, cast(round(l_discount * 100) as int) as d,
   cast(round(l_tax * 100) as int) as x,
-  't' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey as trial_name,
+  't' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-'
+    || cast(round(l_extendedprice * 100) as bigint) as trial_name,
   'J' || (l_suppkey % 7) as job_name
 from lineitem join orders on l_orderkey = o_orderkey"""
 
