@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from gradeloom import constants as C
 from gradeloom import schemas
+from gradeloom.functions.json_fields import accept_duplicate_keys
 from gradeloom.functions.scalars import is_blank, username_key
 
 STAGE_FOLDERS = {"solve": "solving", "grade": "grading"}
@@ -21,6 +22,7 @@ STAGE_FOLDERS = {"solve": "solving", "grade": "grading"}
 
 def _documents(spark: SparkSession, pattern: str, parts: str, names: list[str]) -> DataFrame:
     """Whole files as text with columns cut out of their paths; none found is empty."""
+    accept_duplicate_keys(spark)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "text"]])
     try:
         files = spark.read.text(pattern, wholetext=True)

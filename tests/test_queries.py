@@ -19,7 +19,9 @@ FOLDER = "/root/testdata/sf0.001"
 load_queries()
 QUERIES, ORACLES = spark_queries(), oracle_queries()
 # Only these read Python workers: a hash fed batch by batch.
-HASHED = {"a17_directory_digests", "g04_apply_decisions", "g05_submission_digests", "g06_source_status"}
+HASHED = {
+    "a17_directory_digests", "g04_apply_decisions", "g05_submission_digests", "g06_source_status",
+}
 
 
 @pytest.fixture(scope="module")
