@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import fingerprints, packing, simhash
+from gradeloom.llm import fingerprints, packing, passage_dedup, pseudonyms, simhash
 from gradeloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: For the test tables only; a real corpus brings its own secret.
+PSEUDONYM_KEY = "key of the test tables"
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -31,3 +33,14 @@ def op4_simhash_components(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
+
+
+@query
+def op3_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymised(docs, key=PSEUDONYM_KEY)
+
+
+@query
+def op5_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passage_dedup.deduplicated(table(spark, folder, "documents"))
