@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import fingerprints, packing, passage_dedup, pseudonyms, simhash
+from gradeloom.llm import fingerprints, packing, passage_dedup, pseudonyms, simhash, toxicity
 from gradeloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,8 @@ def op3_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op5_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return passage_dedup.deduplicated(table(spark, folder, "documents"))
+
+
+@query
+def op8_clause_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
