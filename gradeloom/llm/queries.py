@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import fingerprints, packing, passage_dedup, pseudonyms, simhash, toxicity
+from gradeloom.llm import fingerprints, packing, page_crf, passage_dedup, pseudonyms, simhash, toxicity
 from gradeloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,8 @@ def op5_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_clause_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_crf.extracted(table(spark, folder, "pages"))
