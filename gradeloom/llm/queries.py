@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import fingerprints, packing, page_crf, passage_dedup, pseudonyms, simhash, toxicity
+from gradeloom.llm import fingerprints, mixing, packing, page_crf, passage_dedup, pseudonyms, simhash, toxicity
 from gradeloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,9 @@ def op8_clause_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
     return page_crf.extracted(table(spark, folder, "pages"))
+
+
+@query
+def op10_temperature_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return mixing.mixed(docs).drop("text")
