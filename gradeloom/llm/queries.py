@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import fingerprints, mixing, packing, page_crf, passage_dedup, pseudonyms, simhash, toxicity
+from gradeloom.llm import fingerprints, graph_index, mixing, packing, page_crf, passage_dedup, pseudonyms, simhash, toxicity
 from gradeloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,8 @@ def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
 def op10_temperature_mixture(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
     return mixing.mixed(docs).drop("text")
+
+
+@query
+def op7_graph_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return graph_index.nearest(table(spark, folder, "embeddings"))
