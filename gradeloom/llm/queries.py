@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeloom.llm import fingerprints, graph_index, mixing, packing, page_crf, passage_dedup, pseudonyms, simhash, toxicity
+from gradeloom.llm import cotraining, fingerprints, graph_index, mixing, packing, page_crf, passage_dedup, pseudonyms, simhash, toxicity
 from gradeloom.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op10_temperature_mixture(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_graph_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return graph_index.nearest(table(spark, folder, "embeddings"))
+
+
+@query
+def op2_cotrained_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return cotraining.scored(table(spark, folder, "documents"), table(spark, folder, "labels"))
