@@ -258,6 +258,19 @@ def excluded_uploads(v):
     return uploads.select_uploads(v.uploads, v.selections)[1]
 
 
+@query(
+    "g07_username_conflicts",
+    """select course_id, assignment_id, person_id, min(u) as lowest, max(u) as highest
+    from (select *, lower(ltrim(username, '#')) || case when digest in ('d1', 'd3') then 'x' else '' end
+      as u from f_uploads) x
+    group by all having min(u) <> max(u)""",
+)
+def username_conflicts(v):
+    # Some versions of a person's files name another account.
+    other = F.concat("username", F.when(F.col("digest").isin("d1", "d3"), "x").otherwise(""))
+    return uploads.username_conflicts(v.uploads.withColumn("username", other))
+
+
 @query(
     "x01_unmatched_selections",
     """select assignment_id, person_id, folder from f_selections where length(folder) % 2 = 0""",
@@ -315,8 +328,8 @@ def allocated_people(v):
         case when possible_stale_solution and merged_uploads then 'possible_stale_solution' end,
         case when replaced_files then 'replaced_files' end,
         case when s.folder is not null then 'upload_selected' end) as flags,
-      coalesce(r.t, '') as replaced_files, coalesce(s.folder, '') as selected_upload,
-      coalesce(x.t, '[]') as excluded_uploads, coalesce(s.reason, '') as selection_reason
+      coalesce(r.n, 0) as n_replaced_files, coalesce(s.folder, '') as selected_upload,
+      coalesce(x.n, 0) as n_excluded_uploads, coalesce(s.reason, '') as selection_reason
     from o_latest l join o_flags f using (course_id, assignment_id, person_id)
     join (select course_id, assignment_id, person_id, count(distinct dir_name) as uploads
       from f_uploads group by all) n using (course_id, assignment_id, person_id)
@@ -324,13 +337,10 @@ def allocated_people(v):
       union all select course_id, lms_person_id, student_id, lms_username, display_name
       from f_known_people) p on p.course_id = l.course_id and p.person_id = l.person_id
     left join f_selections s on s.assignment_id = l.assignment_id and s.person_id = l.person_id
-    left join (select course_id, assignment_id, person_id, string_agg(relpath ||
-        ' (superseded upload of ' || strftime(before_at, '%Y-%m-%dT%H:%M') || ')', ';'
-        order by submitted_at, dir_name, relpath) as t
+    left join (select course_id, assignment_id, person_id, count(*) as n
       from o_versions_of where before_digest <> digest group by all) r
       on r.course_id = l.course_id and r.assignment_id = l.assignment_id and r.person_id = l.person_id
-    left join (select assignment_id, person_id, '[' || string_agg(distinct '"' || dir_name || '"', ','
-        order by '"' || dir_name || '"') || ']' as t
+    left join (select assignment_id, person_id, count(distinct dir_name) as n
       from f_uploads join f_selections using (assignment_id, person_id) where dir_name <> folder
       group by all) x on x.assignment_id = l.assignment_id and x.person_id = l.person_id""",
 )

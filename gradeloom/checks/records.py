@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gradeloom.checks.registry import ORACLE_VIEWS, query, rounded
@@ -9,10 +11,12 @@ from gradeloom.checks.views import VIEWS
 from gradeloom.functions import json_fields as J
 from gradeloom.functions import predicates as P
 from gradeloom.functions import scalars as N
-from gradeloom.operators import contract, lineage, rubrics, trials
+from gradeloom.operators import accounting, contract, lineage, rubrics, trials
 from gradeloom.operators import keys as K
 from gradeloom.plans import report
+from gradeloom.session import checkpoint_dir
 from gradeloom.sources import records as source
+from gradeloom.sources import sinks
 
 # Every line has its own job 'R' || trial: a run record, a result and an artifact.
 # pk % 23 = 0 breaks the record's JSON, pk % 29 = 0 puts it under the wrong stage.
@@ -607,27 +611,67 @@ def roster(v):
     "s15_provenance",
     """select 42 as seed, count(*) as n_trials,
       (select count(*) from f_criteria) as n_criteria_rows,
-      'grader-a id-grader-a grade; grader-b id-grader-b grade; judge id-judge grade; solver id-solver solve'
-        as configs,
-      (select string_agg(distinct job_name, '; ' order by job_name) from f_trials0
-        where stage = 'solve') as solve_jobs,
-      (select string_agg(distinct job_name, '; ' order by job_name) from f_trials0
-        where stage = 'grade') as grade_jobs
+      (select count(*) from (select distinct stage, config_name, config_identity from f_trials0) c)
+        as n_configs,
+      count(distinct job_name) filter (stage = 'solve') as n_solve_jobs,
+      count(distinct job_name) filter (stage = 'grade') as n_grade_jobs
     from f_trials0""",
 )
 def provenance(v):
-    row = report.provenance(v.trials0, v.criteria)
-    texts = F.transform("configs", lambda c: F.concat_ws(" ", c["name"], c["identity"], c["stage"]))
-    return row.select(
-        "seed",
-        "n_trials",
-        "n_criteria_rows",
-        F.array_join(texts, "; ").alias("configs"),
-        F.array_join("solve_jobs", "; ").alias("solve_jobs"),
-        F.array_join("grade_jobs", "; ").alias("grade_jobs"),
+    return report.provenance(v.trials0, v.criteria).select(
+        "seed", "n_trials", "n_criteria_rows", "n_configs", "n_solve_jobs", "n_grade_jobs"
     )
 
 
+@query(
+    "s15_sources",
+    """select stage, config_name, config_identity, job_name, count(*) as n_trials
+    from f_trials0 group by all""",
+)
+def sources(v):
+    return report.sources(v.trials0)
+
+
+def _target(v, name: str) -> str:
+    return f"{checkpoint_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "s12_written_report",
+    """select config_name, config_identity, course_id, assignment_id, job_name, trial_name, outcome
+    from f_trials0 s where stage = 'solve' and not exists (select 1 from o_valid g
+      where g.solve_job_name = s.job_name and g.solve_trial_name = s.trial_name)""",
+)
+def written_report(v):
+    """The report's table of ungraded trials, written and read back."""
+    target = _target(v, "s12")
+    table = accounting.ungraded_solve_trials(v.trials)
+    sinks.write_report({"ungraded_solve_trials": table}, target, "parquet")
+    return v.spark.read.schema(table.schema).parquet(f"{target}/ungraded_solve_trials")
+
+
+@query(
+    "s13_scoped_overwrite",
+    """select trial_name, course_id, assignment_id, 'old' as run from f_trials0
+      where not (course_id in ('C1', 'C2', 'C3'))
+    union all
+    select trial_name, course_id, assignment_id, 'new' from f_trials0
+      where course_id in ('C1', 'C2') and assignment_id <> 'HW0'""",
+)
+def scoped_overwrite(v):
+    """Everything written once; then three courses again, without C3 and without HW0.
+
+    C3 and the HW0 of C1 and C2 are in the scope and have no rows: they end up empty.
+    """
+    target = _target(v, "s13")
+    rows = v.trials0.select("trial_name", "course_id", "assignment_id")
+    sinks.write_scoped(rows.withColumn("run", F.lit("old")), target)
+    scope = [(f"C{c}", f"HW{a}") for c in (1, 2, 3) for a in range(12)]
+    again = rows.where("course_id in ('C1', 'C2') and assignment_id != 'HW0'")
+    sinks.write_scoped(again.withColumn("run", F.lit("new")), target, scope)
+    return v.spark.read.schema("trial_name string, run string, course_id string, assignment_id string").parquet(target)
+
+
 @query(
     "n06_general_format",
     """select l_orderkey, l_linenumber, l_partkey, l_suppkey, format('{:g}', x) as big,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gradeloom import schemas
 from gradeloom.checks.registry import ORACLE_VIEWS, query, rounded
 from gradeloom.functions import predicates as P
-from gradeloom.operators import accounting, ladder, lineage, quality, repeats, review, students
+from gradeloom.operators import accounting, ladder, lineage, quality, release, repeats, review, students
 from gradeloom.operators import keys as K
 from gradeloom.plans import report
 
@@ -409,7 +409,6 @@ select *, list_filter(refs, lambda r: abs(r.s - median_score_pct) > 10) as far
 from (select config_name, config_identity, course_id, assignment_id, item_id, item_identity,
     count(*) as n_gradings, min_by(student_id, ref) as student_id,
     min_by(submission_source, ref) as submission_source, min_by(rubric_sha256, ref) as rubric_sha256,
-    string_agg(format('{:g}', score_pct), '; ' order by score_pct) as score_pct_values,
     quantile_cont(score_pct, 0.5) as median_score_pct,
     max(score_pct) - min(score_pct) as range_score_pct,
     list({'r': ref, 's': score_pct} order by ref) as refs
@@ -420,8 +419,7 @@ from (select config_name, config_identity, course_id, assignment_id, item_id, it
     "a13_repeat_consistency",
     """select * exclude (refs, far) replace (round(median_score_pct, 6) as median_score_pct,
         round(range_score_pct, 6) as range_score_pct),
-      range_score_pct > 20 as range_flagged, cast(len(far) as bigint) as n_deviant_gradings,
-      nullif(array_to_string(list_transform(far, lambda r: r.r), '; '), '') as deviant_trials
+      range_score_pct > 20 as range_flagged, cast(len(far) as bigint) as n_deviant_gradings
     from o_repeats""",
 )
 def repeat_consistency(v):
@@ -492,7 +490,6 @@ ORACLE_VIEWS["o_initial"] = """
 select config_name, config_identity, course_id, assignment_id, item_id, item_identity,
   min_by(student_id, ref) as student_id, min_by(submission_source, ref) as submission_source,
   min_by(rubric_sha256, ref) as rubric_sha256, count(*) as n_initial_gradings,
-  string_agg(format('{:g}', score_pct), '; ' order by score_pct) as initial_score_pct_values,
   quantile_cont(score_pct, 0.5) as initial_median_score_pct,
   max(score_pct) - min(score_pct) as initial_range_score_pct, list(ref order by ref) as names,
   row_number() over () as gid
@@ -502,7 +499,7 @@ select gid, unnest(names) as name from o_initial"""
 ORACLE_VIEWS["o_final"] = """
 select config_name as judge_config_name, config_identity as judge_config_identity, item_id as jitem,
   item_identity as jident, count(*) as n_final_gradings,
-  quantile_cont(score_pct, 0.5) as final_score_pct, string_agg(ref, '; ' order by ref) as final_trials,
+  quantile_cont(score_pct, 0.5) as final_score_pct, min(ref) as first_final_trial,
   min_by({'student_id': student_id, 'source': submission_source, 'rubric': rubric_sha256,
     'course': course_id, 'assignment': assignment_id, 'ctx': context_config_name,
     'ctxid': context_config_identity, 'n': n_prior_gradings, 'priors': prior_trials}, ref) as f,
@@ -541,7 +538,7 @@ select case when igid is null then f.ctx else config_name end as config_name,
   case when igid is null then f.student_id else student_id end as student_id,
   case when igid is null then f.source else submission_source end as submission_source,
   case when igid is null then f.rubric else rubric_sha256 end as rubric_sha256,
-  coalesce(n_initial_gradings, 0) as n_initial_gradings, initial_score_pct_values,
+  coalesce(n_initial_gradings, 0) as n_initial_gradings,
   initial_median_score_pct, initial_range_score_pct, names,
   judge_config_name, judge_config_identity, n_final_gradings, final_score_pct,
   f.n as n_prior_gradings, coalesce(n_resolved, 0) as n_resolved_prior_gradings,
@@ -557,15 +554,14 @@ select case when igid is null then f.ctx else config_name end as config_name,
   case when complete then final_score_pct < low or final_score_pct > high end
     as final_outside_range,
   case when complete then greatest(low - final_score_pct, final_score_pct - high, 0) end
-    as final_distance_outside_range_pct, final_trials,
+    as final_distance_outside_range_pct, first_final_trial,
   not complete as unresolved, igid is null as standalone
 from o_queue0
 union all by name
 select * exclude (gid), 0 as n_final_gradings, false as unresolved, false as standalone
 from o_initial where gid not in (select igid from o_queue0 where igid is not null)"""
-ORACLE_VIEWS["o_queue"] = f"""
-select * exclude (names, unresolved, standalone), array_to_string(names, '; ') as initial_trials,
-  array_to_string({_PATHS.format("names")}, '; ') as initial_justification_paths,
+ORACLE_VIEWS["o_queue"] = """
+select * exclude (names, unresolved, standalone),
   nullif(concat_ws('; ', case when final_outside_range then 'final_outside_prior_range' end,
     case when initial_range_score_pct > 20 then 'wide_initial_range' end,
     case when n_unseen_initial_gradings > 0 then 'initial_not_in_judge_context' end,
@@ -575,11 +571,65 @@ select * exclude (names, unresolved, standalone), array_to_string(names, '; ') a
 from o_queue1"""
 
 
-@query("j05_review_queue", "select * from o_queue")
+@query("j05_review_queue", "select * exclude (unseen_initial_trials) from o_queue")
 def review_queue(v):
     return rounded(review.review_queue(v.trials))
 
 
+_PATH = "'grading/' || ref || '/artifacts/app/grading_output/justification.md' as justification_path"
+
+
+@query(
+    "j05_initial_gradings",
+    f"""select config_name, config_identity, course_id, assignment_id, item_id, item_identity,
+      ref as initial_trial, round(score_pct, 6) as score_pct, {_PATH}
+    from o_valid where context_config_identity is null""",
+)
+def initial_gradings(v):
+    return rounded(review.initial_gradings(v.trials))
+
+
+@query(
+    "j05_final_gradings",
+    f"""select config_name, config_identity, item_id, item_identity,
+      ref as final_trial, round(score_pct, 6) as score_pct, {_PATH}
+    from o_valid where context_config_identity is not null""",
+)
+def final_gradings(v):
+    return rounded(review.final_gradings(v.trials))
+
+
+@query(
+    "j13_identity_blockers",
+    """select 'several_config_identity' as blocker, min(config_identity) as subject from o_trials
+      having min(config_identity) <> max(config_identity)
+    union all select 'several_context_config_identity', min(context_config_identity) from o_trials
+      having min(context_config_identity) <> max(context_config_identity)""",
+)
+def identity_blockers(v):
+    return release.identity_blockers(v.trials)
+
+
+@query(
+    "j13_unknown_pins",
+    """select ref as reference from o_trials
+    where stage = 'grade' and not (coalesce(n_prior_gradings = 2, false) and not superseded
+      and coalesce(outcome = 'completed', false) and not grading_load_error)""",
+)
+def unknown_pins(v):
+    pins = v.trials.where("stage = 'grade'").select(repeats.trial_ref().alias("reference"))
+    return release.unknown_pins(v.trials, 2, pins)
+
+
+@query(
+    "a13_repeat_scores",
+    """select config_name, config_identity, course_id, assignment_id, item_id, item_identity,
+      round(score_pct, 6) as score_pct, count(*) as n from o_valid group by all""",
+)
+def repeat_scores(v):
+    return rounded(repeats.repeat_scores(v.trials))
+
+
 @query(
     "w07_priority_rank",
     """select course_id, config_identity, item_id, item_identity, judge_config_identity,
@@ -588,7 +638,7 @@ def review_queue(v):
         coalesce(final_distance_outside_range_pct, 0) desc, initial_range_score_pct desc nulls last,
         config_name nulls last, config_identity nulls last, assignment_id nulls last,
         item_id nulls last, item_identity nulls last, judge_config_name nulls last,
-        judge_config_identity nulls last, final_trials nulls last) as priority_rank
+        judge_config_identity nulls last, first_final_trial nulls last) as priority_rank
     from o_queue""",
 )
 def priority_rank(v):

@@ -12,7 +12,6 @@ from gradeloom.functions.predicates import is_pseudo, known
 from gradeloom.functions.scalars import is_blank, name_key, username_key
 from gradeloom.operators.spread import numbered
 
-PEOPLE_PER_BUCKET = 65_536
 
 
 def highest_number(students: DataFrame) -> DataFrame:
@@ -42,8 +41,7 @@ def allocate_people(latest: DataFrame, students: DataFrame) -> DataFrame:
     fresh = latest.join(taken, ["course_id", "person_id"], "left_anti").withColumn(
         "__number", F.col("person_id").cast("long")
     )
-    bucket = F.floor(F.col("__number") / PEOPLE_PER_BUCKET)
-    placed = numbered(fresh, ["course_id"], ["__number"], bucket, "__position")
+    placed = numbered(fresh, ["course_id"], ["__number"], "__position")
     return _with_ids(placed, students).select(
         "student_id",
         "course_id",
@@ -118,7 +116,7 @@ def allocate_names(identified: DataFrame, students: DataFrame) -> DataFrame:
             F.min_by("name", F.struct("assignment_id", "submission_id")).alias("display_name")
         )
     )
-    placed = numbered(fresh, ["course_id"], ["key"], F.substring("key", 1, 4), "__position")
+    placed = numbered(fresh, ["course_id"], ["key"], "__position")
     return _with_ids(placed, students).select(
         "student_id",
         "course_id",

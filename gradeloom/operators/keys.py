@@ -20,8 +20,3 @@ ITEM = ["item_id", "item_identity"]
 REPEAT = [*CONFIG, "course_id", "assignment_id", *ITEM]
 JUDGE = [*CONFIG, *ITEM]
 TRIAL = ["job_name", "trial_name"]
-
-# A "; "-joined report cell is filled for groups up to this many entries. Larger
-# groups keep the cell NULL; their entries are in the long-form companion tables,
-# which always hold every entry of every group.
-INLINE_LIST_LIMIT = 10_000

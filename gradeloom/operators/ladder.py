@@ -10,8 +10,6 @@ from gradeloom.functions.predicates import is_stage, is_valid_grading, known
 from gradeloom.operators import keys as K
 from gradeloom.operators.spread import join_on_keys, numbered
 
-# Above this many values a course is resampled by joins instead of from an array cell.
-BOOTSTRAP_ARRAY_LIMIT = 4_096
 _RESAMPLE_CHUNK = 100
 
 
@@ -129,14 +127,13 @@ def bootstrap_intervals(
     order: str,
     seed: int = C.DEFAULT_SEED,
     resamples: int = C.BOOTSTRAP_RESAMPLES,
-    array_limit: int = BOOTSTRAP_ARRAY_LIMIT,
 ) -> DataFrame:
     """Percentile bootstrap of the mean for every key with enough values.
 
     Draws come from a hash of (seed, key, resample, draw), so the interval does
-    not depend on partitioning. Resamples are spread over tasks in chunks. A key
-    with more than ``array_limit`` values is resampled by joining draws to
-    numbered values, so no cell grows with the key.
+    not depend on partitioning. Values are numbered within their key, draws are
+    spread over tasks in chunks of resamples and joined to the numbered values, and
+    sums are built before the shuffle; no cell grows with the key.
     """
     label = F.concat_ws("|", *[F.coalesce(F.col(k), F.lit("")) for k in keys])
     sizes = (
@@ -144,68 +141,32 @@ def bootstrap_intervals(
         .agg(F.count(F.lit(1)).alias("__size"))
         .where(F.col("__size") >= C.MIN_BOOTSTRAP_CLUSTERS)
         .withColumn("__label", label)
+        # Unlike the label, which is hashed, this tells an absent part from an empty one.
+        .withColumn("__key", F.to_json(F.array(*[F.col(k).cast("string") for k in keys])))
     )
-    sized = join_on_keys(values, sizes, keys)
+    placed = numbered(join_on_keys(values, sizes, keys), keys, [order], "__position")
     chunk_starts = F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(_RESAMPLE_CHUNK))
     chunk = F.sequence(
         F.col("__from"), F.least(F.col("__from") + (_RESAMPLE_CHUNK - 1), F.lit(resamples - 1))
     )
-
-    small = (
-        sized.where(F.col("__size") <= array_limit)
-        .groupBy(*keys, "__label")
-        .agg(F.sort_array(F.collect_list(F.struct(order, "mean_score_pct"))).alias("__values"))
-        .withColumn("__values", F.col("__values.mean_score_pct"))
+    pick = _draw(seed, F.col("__label"), F.col("__resample"), F.col("__position"), F.col("__size"))
+    draws = (
+        placed.select("__key", "__label", "__size", "__position")
         .withColumn("__from", F.explode(chunk_starts))
         # A fixed count: the rows are few, but each stands for much work, so they
-        # must not be coalesced by size.
-        .repartition(_tasks(values), *keys, "__from")
+        # must not be coalesced by size. A resample's draws stay together.
+        .repartition(_tasks(values), "__key", "__from")
         .withColumn("__resample", F.explode(chunk))
+        .select("__key", "__resample", (pick + 1).alias("__position"))
     )
-    n = F.size("__values")
-    total = F.aggregate(
-        F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.element_at(
-                "__values",
-                (_draw(seed, F.col("__label"), F.col("__resample"), i, n) + 1).cast("int"),
-            ),
-        ),
-        F.lit(0.0),
-        lambda a, b: a + b,
-    )
-    small_means = small.select(*keys, (total / n).alias("__mean"))
-
-    large = numbered(
-        sized.where(F.col("__size") > array_limit),
-        keys,
-        [order],
-        F.substring(F.col(order), 1, 8),
-        "__position",
-    )
-    draws = (
-        large.withColumn("__from", F.explode(chunk_starts))
-        .withColumn("__resample", F.explode(chunk))
-        .withColumn(
-            "__pick",
-            _draw(seed, F.col("__label"), F.col("__resample"), F.col("__position"), F.col("__size"))
-            + 1,
-        )
-        .select(*keys, "__resample", F.col("__pick").alias("__position"))
-    )
-    large_means = (
-        join_on_keys(draws, large.select(*keys, "__position", "mean_score_pct"), [*keys, "__position"])
-        .groupBy(*keys, "__resample")
-        .agg(F.avg("mean_score_pct").alias("__mean"))
-        .drop("__resample")
-    )
-
+    drawn = draws.join(placed.select("__key", "__position", "mean_score_pct"), ["__key", "__position"])
+    means = drawn.groupBy("__key", "__resample").agg(F.avg("mean_score_pct").alias("__mean"))
     tail = (1.0 - C.BOOTSTRAP_CONFIDENCE) / 2.0
-    return (
-        small_means.unionByName(large_means)
-        .groupBy(*keys)
-        .agg(F.percentile("__mean", F.array(F.lit(tail), F.lit(1.0 - tail))).alias("__ci"))
-        .select(*keys, F.col("__ci")[0].alias("ci_low"), F.col("__ci")[1].alias("ci_high"))
+    bounds = means.groupBy("__key").agg(
+        F.percentile("__mean", F.array(F.lit(tail), F.lit(1.0 - tail))).alias("__ci")
+    )
+    return sizes.join(bounds, "__key").select(
+        *keys, F.col("__ci")[0].alias("ci_low"), F.col("__ci")[1].alias("ci_high")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,70 +18,84 @@ def prior_names(column: str = "prior_trials") -> Column:
     return F.split(F.col(column), "; ", -1)
 
 
-def superseded_sets(trials: DataFrame) -> DataFrame:
-    """Prior sets, per judge group, that are a strict subset of another set there.
-
-    Repeats of one judge item share a set, so sets are made distinct first. Every
-    superset of a set contains the set's rarest element; joining on that element
-    alone leaves few candidates, and no other pair of sets is ever formed.
-    """
-    judged = trials.where(
+def _judged() -> Column:
+    return (
         is_stage("grade")
         & F.col("context_config_identity").isNotNull()
         & F.col("prior_trials").isNotNull()
         & F.col("score_pct").isNotNull()
     )
-    sets = (
-        judged.groupBy(*GROUP, F.array_sort(F.array_distinct(prior_names())).alias("priors"))
+
+
+def _set() -> Column:
+    return F.array_sort(F.array_distinct(prior_names()))
+
+
+def superseded_sets(
+    trials: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df
+) -> DataFrame:
+    """Prior sets, per judge group, that are a strict subset of another set there.
+
+    Repeats of one judge item share a set, so sets are made distinct first. Every
+    superset of a set contains the set's rarest element. The largest set with that
+    element is tried first, one candidate for each set: nested sets end there. What is
+    left is compared only with sets that no other has replaced, as a replaced one is
+    itself inside another, and only over the rarest element.
+
+    ``keep`` holds a table that is read more than once. Only the group, the recorded
+    priors, stage and score of a trial are needed.
+    """
+    sets = keep(
+        trials.where(_judged())
+        .groupBy(*GROUP, _set().alias("priors"))
         .agg(F.count(F.lit(1)).alias("n_rows"))
         .drop("n_rows")
     )
     members = sets.select(*GROUP, "priors", F.explode("priors").alias("member"))
-    frequency = members.groupBy(*GROUP, "member").agg(F.count(F.lit(1)).alias("n_sets"))
-    rarest = (
-        join_on_keys(members, frequency, [*GROUP, "member"])
+    by_member = members.groupBy(*GROUP, "member").agg(
+        F.count(F.lit(1)).alias("n_sets"),
+        F.max(F.struct(F.size("priors").alias("size"), "priors")).alias("largest"),
+    )
+    rarest = keep(
+        join_on_keys(members, by_member, [*GROUP, "member"])
         .groupBy(*GROUP, "priors")
         .agg(
-            F.min_by("member", F.struct("n_sets", "member")).alias("member"),
-            F.min("n_sets").alias("n_sets"),
+            F.min_by(F.struct("member", "n_sets", "largest"), F.struct("n_sets", "member")).alias("r")
         )
         # An element only this set has rules out any superset.
-        .where(F.col("n_sets") > 1)
-        .drop("n_sets")
+        .where(F.col("r.n_sets") > 1)
+        .select(*GROUP, "priors", "r.member", F.col("r.largest.priors").alias("largest"))
     )
-    wider = members.withColumnRenamed("priors", "wider")
-    return (
-        join_on_keys(rarest, wider, [*GROUP, "member"])
-        .where(
-            (F.size("priors") < F.size("wider"))
-            & (F.size(F.array_except("priors", "wider")) == 0)
-        )
-        .select(*GROUP, "priors")
-        .distinct()
+
+    def inside(wider: str) -> Column:
+        return (F.size("priors") < F.size(wider)) & (F.size(F.array_except("priors", wider)) == 0)
+
+    first = rarest.where(inside("largest")).select(*GROUP, "priors")
+    left = rarest.where(~inside("largest")).select(*GROUP, "priors", "member")
+    standing = join_on_keys(members, first, [*GROUP, "priors"], "left_anti")
+    wider = standing.select(*GROUP, "member", F.col("priors").alias("wider"))
+    second = (
+        join_on_keys(left, wider, [*GROUP, "member"]).where(inside("wider")).select(*GROUP, "priors")
     )
+    return first.unionByName(second.distinct())
+
 
+def mark_superseded(trials: DataFrame, replaced: DataFrame | None = None) -> DataFrame:
+    """Trials with ``superseded`` set on judgments replaced by a wider one.
 
-def mark_superseded(trials: DataFrame) -> DataFrame:
-    """Trials with ``superseded`` set on judgments replaced by a wider one."""
+    ``replaced`` are the ``superseded_sets``, where the caller has them from less than
+    the whole rows. The rows themselves are read once.
+    """
     columns = trials.columns
-    replaced = superseded_sets(trials).withColumn("__superseded", F.lit(True))
-    candidate = (
-        is_stage("grade")
-        & F.col("context_config_identity").isNotNull()
-        & F.col("prior_trials").isNotNull()
-        & F.col("score_pct").isNotNull()
-    )
-    # Only judge rows can be superseded; the other rows skip the join.
-    judged = trials.where(candidate).withColumn(
-        "priors", F.array_sort(F.array_distinct(prior_names()))
-    )
-    marked = (
-        join_on_keys(judged, replaced, [*GROUP, "priors"], "left")
+    replaced = superseded_sets(trials) if replaced is None else replaced
+    marks = replaced.withColumnRenamed("priors", "__priors").withColumn("__superseded", F.lit(True))
+    # Rows that are no valid judgment have no set, and no set is absent.
+    placed = trials.withColumn("__priors", F.when(_judged(), _set()))
+    return (
+        join_on_keys(placed, marks, [*GROUP, "__priors"], "left")
         .withColumn("superseded", F.coalesce("__superseded", F.lit(False)))
         .select(*columns)
     )
-    rest = trials.where(~candidate).withColumn("superseded", F.lit(False)).select(*columns)
-    return rest.unionByName(marked)
 
 
 def with_solver(trials: DataFrame, solve_jobs: DataFrame) -> DataFrame:

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from gradeloom import constants as C
 from gradeloom.functions.predicates import is_valid_grading
-from gradeloom.functions.scalars import format_general
 from gradeloom.operators import keys as K
-from gradeloom.operators.spread import join_on_keys
+from gradeloom.operators.spread import join_on_keys, median_of, with_median_ranks
 
 _FIRST = ["job_name", "trial_name", "student_id", "submission_source", "rubric_sha256"]
 
@@ -29,29 +28,19 @@ def score_table(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def spelled_scores(values: Column, total: Column, limit: int) -> Column:
-    """``; ``-joined scores in order from (score, count) structs, for small groups."""
-    ordered = F.array_sort(values)
-    texts = F.flatten(
-        F.transform(
-            ordered, lambda v: F.array_repeat(format_general(v["score_pct"]), v["n"].cast("int"))
-        )
+def repeat_groups(trials: DataFrame) -> DataFrame:
+    """Items with two or more valid gradings: count, median, range, first row."""
+    table = with_median_ranks(
+        score_table(trials.where(is_valid_grading()), K.REPEAT), K.REPEAT, "score_pct"
     )
-    return F.when(total <= limit, F.array_join(texts, "; "))
-
-
-def repeat_groups(trials: DataFrame, inline_limit: int = K.INLINE_LIST_LIMIT) -> DataFrame:
-    """Items with two or more valid gradings: scores, median, range, first row."""
-    table = score_table(trials.where(is_valid_grading()), K.REPEAT)
     grouped = (
         table.groupBy(*K.REPEAT)
         .agg(
             F.sum("n").alias("n_gradings"),
             F.min("first").alias("first"),
-            F.percentile("score_pct", 0.5, F.col("n")).alias("median_score_pct"),
+            median_of().alias("median_score_pct"),
             F.min("score_pct").alias("low"),
             F.max("score_pct").alias("high"),
-            F.collect_list(F.struct("score_pct", "n")).alias("values"),
         )
         .where(F.col("n_gradings") >= 2)
     )
@@ -60,9 +49,6 @@ def repeat_groups(trials: DataFrame, inline_limit: int = K.INLINE_LIST_LIMIT) ->
         *K.REPEAT,
         *[F.col(f"first.{c}").alias(c) for c in _FIRST[2:]],
         "n_gradings",
-        spelled_scores(F.col("values"), F.col("n_gradings"), inline_limit).alias(
-            "score_pct_values"
-        ),
         "median_score_pct",
         spread.alias("range_score_pct"),
         (spread > C.REPEAT_RANGE_FLAG_PCT).alias("range_flagged"),
@@ -90,26 +76,23 @@ def repeat_scores(trials: DataFrame) -> DataFrame:
     return score_table(trials.where(is_valid_grading()), K.REPEAT).drop("first")
 
 
-def repeat_consistency(trials: DataFrame, inline_limit: int = K.INLINE_LIST_LIMIT) -> DataFrame:
-    """One row per repeated item with its spread, flags and deviant gradings."""
-    groups = repeat_groups(trials, inline_limit)
-    named = F.when(F.col("n_gradings") <= inline_limit, trial_ref())
+def repeat_consistency(trials: DataFrame) -> DataFrame:
+    """One row per repeated item with its spread, flags and number of deviant gradings.
+
+    The scores are rows of ``repeat_scores``, the deviant gradings of ``deviant_gradings``.
+    """
+    groups = repeat_groups(trials)
     deviants = (
         deviant_gradings(trials, groups)
         .groupBy(*K.REPEAT)
-        .agg(
-            F.count(F.lit(1)).alias("n_deviant_gradings"),
-            F.array_sort(F.collect_list(named)).alias("names"),
-        )
+        .agg(F.count(F.lit(1)).alias("n_deviant_gradings"))
     )
     return join_on_keys(groups, deviants, K.REPEAT, "left").select(
         *K.REPEAT,
         *_FIRST[2:],
         "n_gradings",
-        "score_pct_values",
         "median_score_pct",
         "range_score_pct",
         "range_flagged",
         F.coalesce("n_deviant_gradings", F.lit(0)).alias("n_deviant_gradings"),
-        F.when(F.size("names") > 0, F.array_join("names", "; ")).alias("deviant_trials"),
     )

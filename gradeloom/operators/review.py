@@ -10,8 +10,8 @@ from gradeloom.functions.predicates import is_valid_grading, known
 from gradeloom.functions.scalars import format_general, justification_paths
 from gradeloom.operators import keys as K
 from gradeloom.operators.lineage import prior_names
-from gradeloom.operators.repeats import score_table, spelled_scores, trial_ref
-from gradeloom.operators.spread import join_on_keys, numbered
+from gradeloom.operators.repeats import score_table, trial_ref
+from gradeloom.operators.spread import join_on_keys, median_of, numbered, with_median_ranks
 
 _SHOWN = ["student_id", "submission_source", "rubric_sha256"]
 _JUDGE_FIRST = [
@@ -19,16 +19,16 @@ _JUDGE_FIRST = [
     "context_config_identity", "n_prior_gradings", "prior_trials",
 ]
 
+# The columns of the queue. What a group lists one by one is in the long
+# tables below.
 COLUMNS = [
-    *K.REPEAT, *_SHOWN, "n_initial_gradings", "initial_score_pct_values",
-    "initial_median_score_pct", "initial_range_score_pct", "initial_trials",
-    "initial_justification_paths", "judge_config_name", "judge_config_identity",
+    *K.REPEAT, *_SHOWN, "n_initial_gradings", "initial_median_score_pct",
+    "initial_range_score_pct", "judge_config_name", "judge_config_identity",
     "n_final_gradings", "final_score_pct", "n_prior_gradings", "n_resolved_prior_gradings",
     "n_missing_prior_gradings", "prior_score_pct_values", "prior_min_score_pct",
     "prior_max_score_pct", "prior_range_score_pct", "prior_trials",
-    "prior_justification_paths", "n_unseen_initial_gradings", "unseen_initial_trials",
-    "final_outside_range", "final_distance_outside_range_pct", "final_trials",
-    "review_reasons",
+    "prior_justification_paths", "n_unseen_initial_gradings", "final_outside_range",
+    "final_distance_outside_range_pct", "first_final_trial", "review_reasons",
 ]
 
 
@@ -36,27 +36,23 @@ def _joined(names: Column) -> Column:
     return F.when(F.size(names) > 0, F.array_join(names, "; "))
 
 
-def _names_of(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, limit: int):
-    """Sorted trial names of the groups small enough to list."""
-    listed = groups.where(F.col(size) <= limit).select(*keys)
-    return (
-        join_on_keys(rows, listed, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(trial_ref())).alias("names"))
-    )
+def _sides(trials: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Valid gradings without and with a judge's context."""
+    valid = trials.where(is_valid_grading())
+    is_judge = F.col("context_config_identity").isNotNull()
+    return valid.where(~is_judge), valid.where(is_judge)
 
 
-def initial_groups(rows: DataFrame, limit: int) -> DataFrame:
+def initial_groups(rows: DataFrame) -> DataFrame:
     """One row per initial grading group, single gradings included."""
-    grouped = (
-        score_table(rows, K.REPEAT)
+    return (
+        with_median_ranks(score_table(rows, K.REPEAT), K.REPEAT, "score_pct")
         .groupBy(*K.REPEAT)
         .agg(
             F.sum("n").alias("n_initial_gradings"),
             F.min("first").alias("first"),
-            F.percentile("score_pct", 0.5, F.col("n")).alias("initial_median_score_pct"),
+            median_of().alias("initial_median_score_pct"),
             (F.max("score_pct") - F.min("score_pct")).alias("initial_range_score_pct"),
-            F.collect_list(F.struct("score_pct", "n")).alias("scores"),
         )
         .select(
             *K.REPEAT,
@@ -64,29 +60,27 @@ def initial_groups(rows: DataFrame, limit: int) -> DataFrame:
             "n_initial_gradings",
             "initial_median_score_pct",
             "initial_range_score_pct",
-            spelled_scores(F.col("scores"), F.col("n_initial_gradings"), limit).alias(
-                "initial_score_pct_values"
-            ),
         )
     )
-    names = _names_of(rows, grouped, K.REPEAT, "n_initial_gradings", limit)
-    return join_on_keys(grouped, names.withColumnRenamed("names", "initial_names"), K.REPEAT, "left")
 
 
-def judge_groups(rows: DataFrame, limit: int) -> DataFrame:
+def judge_groups(rows: DataFrame) -> DataFrame:
     """One row per judge item: the final median and the first row's recorded lineage."""
-    grouped = (
-        rows.groupBy(*K.JUDGE, "score_pct")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*_JUDGE_FIRST)).alias("first"))
+    counted = rows.groupBy(*K.JUDGE, "score_pct").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.struct(*_JUDGE_FIRST)).alias("first"),
+        F.min(trial_ref()).alias("first_final_trial"),
+    )
+    return (
+        with_median_ranks(counted, K.JUDGE, "score_pct")
         .groupBy(*K.JUDGE)
         .agg(
             F.sum("n").alias("n_final_gradings"),
-            F.percentile("score_pct", 0.5, F.col("n")).alias("final_score_pct"),
+            median_of().alias("final_score_pct"),
             F.min("first").alias("first"),
+            F.min("first_final_trial").alias("first_final_trial"),
         )
     )
-    names = _names_of(rows, grouped, K.JUDGE, "n_final_gradings", limit)
-    return join_on_keys(grouped, names.withColumnRenamed("names", "final_names"), K.JUDGE, "left")
 
 
 def resolved_priors(judges: DataFrame, initial_rows: DataFrame) -> DataFrame:
@@ -130,7 +124,7 @@ def resolved_priors(judges: DataFrame, initial_rows: DataFrame) -> DataFrame:
 
 
 def _reasons() -> Column:
-    """Reason codes in their fixed order."""
+    """Reason codes in their fixed order; the codes are fixed values."""
     checks = [
         (F.col("final_outside_range"), "final_outside_prior_range"),
         (F.col("initial_range_score_pct") > C.REPEAT_RANGE_FLAG_PCT, "wide_initial_range"),
@@ -143,14 +137,11 @@ def _reasons() -> Column:
     return _joined(codes)
 
 
-def review_queue(trials: DataFrame, inline_limit: int = K.INLINE_LIST_LIMIT) -> DataFrame:
+def review_queue(trials: DataFrame) -> DataFrame:
     """The unsorted review queue; see ``priority_order`` for the report order."""
-    valid = trials.where(is_valid_grading())
-    is_judge = F.col("context_config_identity").isNotNull()
-    initial_rows, judge_rows = valid.where(~is_judge), valid.where(is_judge)
-
-    initial = initial_groups(initial_rows, inline_limit)
-    judges = judge_groups(judge_rows, inline_limit)
+    initial_rows, judge_rows = _sides(trials)
+    initial = initial_groups(initial_rows)
+    judges = judge_groups(judge_rows)
     matched = resolved_priors(judges, initial_rows)
 
     recorded = F.col("first.n_prior_gradings")
@@ -175,8 +166,7 @@ def review_queue(trials: DataFrame, inline_limit: int = K.INLINE_LIST_LIMIT) ->
         # An empty recorded list is still a recorded list of one empty name.
         F.col("first.prior_trials").alias("prior_trials"),
         F.array_join(justification_paths(listed_names), "; ").alias("prior_justification_paths"),
-        listed_names.alias("prior_names"),
-        _joined(F.col("final_names")).alias("final_trials"),
+        "first_final_trial",
         "n_distinct_resolved",
         "low",
         "high",
@@ -196,7 +186,6 @@ def review_queue(trials: DataFrame, inline_limit: int = K.INLINE_LIST_LIMIT) ->
     low = F.when(F.col("complete"), F.col("low"))
     high = F.when(F.col("complete"), F.col("high"))
     final = F.col("final_score_pct")
-    unseen = F.array_sort(F.array_except("initial_names", "prior_names"))
     # Groups that no final judgment resolves to keep their row, without judge columns.
     with_initial = (
         join_on_keys(initial, attached, K.REPEAT, "left")
@@ -208,7 +197,6 @@ def review_queue(trials: DataFrame, inline_limit: int = K.INLINE_LIST_LIMIT) ->
             "n_unseen_initial_gradings",
             F.col("n_initial_gradings") - F.col("n_distinct_resolved"),
         )
-        .withColumn("unseen_initial_trials", _joined(unseen))
         .withColumn("final_outside_range", (final < low) | (final > high))
         .withColumn(
             "final_distance_outside_range_pct",
@@ -232,21 +220,31 @@ def review_queue(trials: DataFrame, inline_limit: int = K.INLINE_LIST_LIMIT) ->
     )
     combined = with_initial.unionByName(standalone, allowMissingColumns=True)
     return (
-        combined.withColumn("initial_trials", _joined(F.col("initial_names")))
-        .withColumn(
-            "initial_justification_paths", _joined(justification_paths(F.col("initial_names")))
-        )
-        .withColumn("review_reasons", _reasons())
+        combined.withColumn("review_reasons", _reasons())
         .select(*COLUMNS)
     )
 
 
+def _one_path(ref: str) -> Column:
+    return justification_paths(F.array(ref))[0]
+
+
+def initial_gradings(trials: DataFrame) -> DataFrame:
+    """Long form: every grading of every initial group, with its justification's path."""
+    rows = _sides(trials)[0].select(*K.REPEAT, trial_ref().alias("initial_trial"), "score_pct")
+    return rows.withColumn("justification_path", _one_path("initial_trial"))
+
+
+def final_gradings(trials: DataFrame) -> DataFrame:
+    """Long form: every final judgment of every judge item."""
+    rows = _sides(trials)[1].select(*K.JUDGE, trial_ref().alias("final_trial"), "score_pct")
+    return rows.withColumn("justification_path", _one_path("final_trial"))
+
+
 def unseen_initial_gradings(trials: DataFrame) -> DataFrame:
     """Long form: initial gradings of a judged group that the judge did not see."""
-    valid = trials.where(is_valid_grading())
-    is_judge = F.col("context_config_identity").isNotNull()
-    initial_rows = valid.where(~is_judge)
-    judges = judge_groups(valid.where(is_judge), 0)
+    initial_rows, judge_rows = _sides(trials)
+    judges = judge_groups(judge_rows)
     one_group = resolved_priors(judges, initial_rows).where(F.col("group").isNotNull())
     attached = one_group.select(
         F.col("config_name").alias("judge_config_name"),
@@ -277,7 +275,7 @@ def _priority() -> list[Column]:
         *[F.col(k).asc_nulls_last() for k in K.REPEAT],
         F.col("judge_config_name").asc_nulls_last(),
         F.col("judge_config_identity").asc_nulls_last(),
-        F.col("final_trials").asc_nulls_last(),
+        F.col("first_final_trial").asc_nulls_last(),
     ]
 
 
@@ -288,10 +286,4 @@ def priority_order(queue: DataFrame) -> DataFrame:
 
 def priority_rank(queue: DataFrame) -> DataFrame:
     """The queue with its priority rank inside each course."""
-    bucket = F.struct(
-        ~F.coalesce("final_outside_range", F.lit(False)),
-        -F.ceil(F.coalesce("final_distance_outside_range_pct", F.lit(0.0))),
-        -F.ceil(F.coalesce("initial_range_score_pct", F.lit(-1.0))),
-        F.substring(F.coalesce("config_name", F.lit("￿")), 1, 2),
-    )
-    return numbered(queue, ["course_id"], _priority(), bucket, "priority_rank")
+    return numbered(queue, ["course_id"], _priority(), "priority_rank")

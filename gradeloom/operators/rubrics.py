@@ -82,7 +82,8 @@ def rubric_criteria(parsed: DataFrame) -> DataFrame:
 
 def rubric_versions(files: DataFrame) -> DataFrame:
     """One row per distinct rubric bytes; a selectable path wins over an archived one."""
-    archived = F.col("path").contains("/archive/")
+    # The data root itself may lie below a folder of that name.
+    archived = F.col("path").rlike("(^|/)rubrics/[^/]+/archive/[^/]+$")
     return files.groupBy(
         "course_id", "assignment_id", F.sha2("content", 256).alias("sha256")
     ).agg(

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeloom.session import checkpoint_dir
+
 
 def join_on_keys(
     left: DataFrame,
@@ -126,16 +128,47 @@ def exact_quantiles(
     )
 
 
-def numbered(
-    rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], bucket: Column, name: str
-) -> DataFrame:
+def with_median_ranks(counts: DataFrame, keys: Sequence[str], value: str, count: str = "n") -> DataFrame:
+    """A (key, value, count) table with ``__middle``: the value where it is a median one.
+
+    The median of a key is ``median_of()`` over its rows. Running counts find it; no
+    cell holds a key's values.
+    """
+    whole = Window.partitionBy(*keys)
+    end = F.sum(count).over(whole.orderBy(value))
+    total = F.sum(count).over(whole)
+    low, high = F.floor((total - 1) / 2), F.floor(total / 2)
+
+    def holds(rank: Column) -> Column:
+        return (rank >= F.col("__end") - F.col(count)) & (rank < F.col("__end"))
+
+    placed = counts.withColumn("__end", end).withColumn("__low", low).withColumn("__high", high)
+    return placed.withColumn(
+        "__middle", F.when(holds(F.col("__low")) | holds(F.col("__high")), F.col(value))
+    ).drop("__end", "__low", "__high")
+
+
+def median_of() -> Column:
+    """The aggregate that turns ``__middle`` into the median."""
+    return (F.min("__middle") + F.max("__middle")) / 2
+
+
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
     """Consecutive numbers per key in ``order``, from 1.
 
-    ``bucket`` must not decrease along ``order``. Bucket sizes are counted and
-    accumulated per key, then each bucket is numbered on its own.
+    Rows are dealt into ranges of (key, order) whose bounds Spark takes from the rows
+    themselves, so neither a hot key nor a common beginning fills one range. The range
+    of each row is kept by a checkpoint in the shared folder; range sizes are counted
+    and accumulated per key, then each range is numbered on its own.
     """
     keys = list(keys)
-    placed = rows.withColumn("__bucket", bucket)
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    checkpoint_dir(rows.sparkSession)
+    placed = (
+        rows.repartitionByRange(tasks, *keys, *order)
+        .withColumn("__bucket", F.spark_partition_id())
+        .checkpoint()
+    )
     sizes = placed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__size"))
     running = Window.partitionBy(*keys).orderBy("__bucket")
     offsets = sizes.withColumn(

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from gradeloom import constants as C
 from gradeloom.functions.predicates import known
 from gradeloom.functions.scalars import username_key
-from gradeloom.operators import keys as K
 from gradeloom.operators.digests import directory_digests
 from gradeloom.operators.spread import with_previous
 
@@ -115,12 +114,12 @@ def upload_outcomes(
     uploads: DataFrame,
     selections: DataFrame,
     students: DataFrame,
-    inline_limit: int = K.INLINE_LIST_LIMIT,
 ) -> DataFrame:
     """One ``ready`` outcome per (assignment, person) of upload-based archives.
 
     ``students`` must already hold the people of these uploads (see
-    ``identity.allocate_people``).
+    ``identity.allocate_people``). Which files were replaced and which folders excluded
+    is in ``replaced_files`` and ``select_uploads``, a row each.
     """
     kept, excluded, _ = select_uploads(uploads, selections)
     merged = merged_submissions(uploads, kept)
@@ -131,31 +130,10 @@ def upload_outcomes(
         F.struct("lms_username", "display_name").alias("identity"),
     )
     chosen = selections.select("assignment_id", "person_id", "folder", "reason")
-    replaced = replaced_files(file_versions(kept))
-    replaced_text = F.concat(
-        F.col("relpath"),
-        F.lit(" (superseded upload of "),
-        F.date_format("replaced_at", "yyyy-MM-dd'T'HH:mm"),
-        F.lit(")"),
-    )
-    short = replaced.groupBy(*OWNER).agg(F.count(F.lit(1)).alias("n_replaced"))
-    short = short.where(F.col("n_replaced") <= inline_limit)
-    replaced_lists = (
-        replaced.join(short, OWNER)
-        .groupBy(*OWNER, "n_replaced")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct(*_WHEN, "relpath", replaced_text.alias("text")))
-            ).alias("replaced")
-        )
-        .select(*OWNER, F.array_join("replaced.text", ";").alias("replaced_list"))
-    )
-    n_excluded = excluded.groupBy(*OWNER).agg(F.count(F.lit(1)).alias("n_excluded"))
-    excluded_lists = (
-        excluded.join(n_excluded.where(F.col("n_excluded") <= inline_limit), OWNER)
-        .groupBy(*OWNER)
-        .agg(F.array_sort(F.collect_list("dir_name")).alias("excluded_uploads"))
+    replaced = replaced_files(file_versions(kept)).groupBy(*OWNER).agg(
+        F.count(F.lit(1)).alias("n_replaced_files")
     )
+    left_out = excluded.groupBy(*OWNER).agg(F.count(F.lit(1)).alias("n_excluded_uploads"))
     flags = flag_list(
         "duplicate_reupload", "replaced_files", "merged_uploads", "possible_stale_solution",
         "upload_selected", "identity_changed",
@@ -167,8 +145,8 @@ def upload_outcomes(
     return (
         merged.join(people, ["course_id", "person_id"])
         .join(chosen, ["assignment_id", "person_id"], "left")
-        .join(replaced_lists, OWNER, "left")
-        .join(excluded_lists, OWNER, "left")
+        .join(replaced, OWNER, "left")
+        .join(left_out, OWNER, "left")
         .withColumn("upload_selected", F.col("folder").isNotNull())
         .withColumn("identity_changed", ~shown.eqNullSafe(F.col("identity")))
         .select(
@@ -182,9 +160,9 @@ def upload_outcomes(
             "uploads",
             "files",
             F.array_join(flags, ";").alias("flags"),
-            F.coalesce("replaced_list", F.lit("")).alias("replaced_files"),
+            F.coalesce("n_replaced_files", F.lit(0)).alias("n_replaced_files"),
             F.coalesce("folder", F.lit("")).alias("selected_upload"),
-            F.coalesce(F.to_json("excluded_uploads"), F.lit("[]")).alias("excluded_uploads"),
+            F.coalesce("n_excluded_uploads", F.lit(0)).alias("n_excluded_uploads"),
             F.coalesce("reason", F.lit("")).alias("selection_reason"),
         )
     )

@@ -1,4 +1,4 @@
-"""The assessment report: filters, then eleven derived tables from two tidy ones."""
+"""The assessment report: filters, then the derived tables from two tidy ones."""
 
 from __future__ import annotations
 
@@ -65,11 +65,21 @@ def report_tables(
         "failure_accounting": accounting.failure_accounting(trials),
         "ungraded_solve_trials": accounting.ungraded_solve_trials(trials),
         "repeat_consistency": repeats.repeat_consistency(trials),
+        "repeat_scores": repeats.repeat_scores(trials),
+        "deviant_gradings": repeats.deviant_gradings(trials),
         "review_queue": review.review_queue(trials),
+        "initial_gradings": review.initial_gradings(trials),
+        "final_gradings": review.final_gradings(trials),
+        "unseen_initial_gradings": review.unseen_initial_gradings(trials),
         "near_timeouts": accounting.near_timeouts(trials),
     }
 
 
+def sources(trials: DataFrame) -> DataFrame:
+    """Long form: every config and job that a report was made from, with its trials."""
+    return trials.groupBy("stage", *K.CONFIG, "job_name").agg(F.count(F.lit(1)).alias("n_trials"))
+
+
 def provenance(
     trials: DataFrame,
     criteria: DataFrame,
@@ -80,31 +90,20 @@ def provenance(
 ) -> DataFrame:
     """One row that says what a report was made from.
 
-    The distinct configs and jobs are the record itself, so they are collected
-    into its arrays; both are few beside the trials they come from.
+    Configs and jobs are counted here; ``sources`` lists them, a row each.
     """
     def given(values: list[str] | None):
         kind = "array<string>"
         return F.lit(None).cast(kind) if values is None else F.array(*map(F.lit, values)).cast(kind)
 
-    counted = trials.groupBy("stage", *K.CONFIG, "job_name").agg(F.count(F.lit(1)).alias("n"))
-    one_row = counted.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_trials"),
-        F.array_sort(
-            F.collect_set(
-                F.struct(
-                    F.coalesce("config_name", F.lit("")).alias("name"),
-                    F.coalesce("config_identity", F.lit("")).alias("identity"),
-                    F.coalesce("stage", F.lit("")).alias("stage"),
-                )
-            )
-        ).alias("configs"),
-        F.array_sort(F.collect_set(F.when(F.col("stage") == "solve", F.col("job_name")))).alias(
-            "solve_jobs"
-        ),
-        F.array_sort(F.collect_set(F.when(F.col("stage") == "grade", F.col("job_name")))).alias(
-            "grade_jobs"
-        ),
+    one_row = sources(trials).agg(
+        F.coalesce(F.sum("n_trials"), F.lit(0)).alias("n_trials"),
+        F.count_distinct(
+            F.coalesce("config_name", F.lit("")), F.coalesce("config_identity", F.lit("")),
+            F.coalesce("stage", F.lit("")),
+        ).alias("n_configs"),
+        F.count_distinct(F.when(F.col("stage") == "solve", F.col("job_name"))).alias("n_solve_jobs"),
+        F.count_distinct(F.when(F.col("stage") == "grade", F.col("job_name"))).alias("n_grade_jobs"),
     )
     rows = criteria.agg(F.count(F.lit(1)).alias("n_criteria_rows"))
     return one_row.crossJoin(rows).select(
@@ -118,9 +117,9 @@ def provenance(
         F.lit(C.REPEAT_RANGE_FLAG_PCT).alias("repeat_range_pct"),
         F.lit(C.REPEAT_DEVIATION_FLAG_PCT).alias("repeat_deviation_pct"),
         F.lit(C.NEAR_TIMEOUT_FRACTION).alias("near_timeout_fraction"),
-        "configs",
-        "solve_jobs",
-        "grade_jobs",
+        "n_configs",
+        "n_solve_jobs",
+        "n_grade_jobs",
         "n_trials",
         "n_criteria_rows",
     )

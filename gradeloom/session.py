@@ -18,8 +18,6 @@ def build_session(cores: int | str = "*", shuffle_partitions: int | None = None)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        # Percentiles and short lists over many small groups stay hash aggregates.
-        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "100000")
     )
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

@@ -30,7 +30,7 @@ def _documents(spark: SparkSession, pattern: str, parts: str, names: list[str])
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], schema)
-    path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\\+", "%2B"))
+    path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
     return files.select(
         *[F.regexp_extract(path, parts, i + 1).alias(n) for i, n in enumerate(names)],
         F.col("value").alias("text"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ REPORT_KEYS = {
     "failure_accounting": [*K.STAGE_CONFIG, "outcome"],
     "ungraded_solve_trials": [*K.SOLVE, *K.TRIAL],
     "repeat_consistency": K.REPEAT,
+    "repeat_scores": [*K.REPEAT, "score_pct"],
+    "deviant_gradings": [*K.REPEAT, *K.TRIAL],
+    "initial_gradings": [*K.REPEAT, "initial_trial"],
+    "final_gradings": [*K.JUDGE, "final_trial"],
+    "unseen_initial_gradings": ["judge_config_name", "judge_config_identity", *K.REPEAT, "initial_trial"],
     "near_timeouts": K.JOB_CONFIG,
 }
 
@@ -44,10 +51,37 @@ def write_report(tables: dict[str, DataFrame], target: str, kind: str = "csv") -
         writer.format(kind).save(f"{target}/{name}")
 
 
-def write_scoped(table: DataFrame, target: str) -> None:
-    """Replace only the (course, assignment) partitions the table has rows for."""
+# The characters that partition folders spell as a percent sign and hex digits.
+_ESCAPED = {chr(i) for i in [*range(1, 32), 127]} | set("\"#%'*/:=?\\{[]^")
+
+
+def _folder(value: str) -> str:
+    return "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in value)
+
+
+def write_scoped(
+    table: DataFrame, target: str, assignments: Iterable[tuple[str, str]] | None = None
+) -> None:
+    """Replace the (course, assignment) partitions in scope and no other.
+
+    The scope is ``assignments``; rows outside it are an error of the caller and left out.
+    A named assignment that the table has no rows for ends up empty. Without a scope it is
+    whatever the table has rows for.
+    """
+    rows = table
+    if assignments is not None:
+        scope = table.sparkSession.createDataFrame(
+            list(assignments), "course_id string, assignment_id string"
+        )
+        rows = table.join(scope, ["course_id", "assignment_id"], "left_semi")
+        body = table.drop("course_id", "assignment_id").limit(0)
+        # The caller's list, not data: one empty partition for each named assignment first.
+        for course, assignment in set(assignments):
+            body.write.mode("overwrite").parquet(
+                f"{target}/course_id={_folder(course)}/assignment_id={_folder(assignment)}"
+            )
     (
-        table.write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("course_id", "assignment_id")
         .parquet(target)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,6 +11,12 @@ from gradeloom.operators import keys as K
 from gradeloom.operators.planning import is_done
 
 _KEPT = [*K.TRIAL, *K.ITEM]
+#: Buckets of the table that ``fold_trials`` keeps.
+BUCKETS = 256
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("job_name"), F.lit(BUCKETS)).cast("int")
 
 
 def valid_trials(trials: DataFrame, stage: str) -> DataFrame:
@@ -33,16 +39,22 @@ def fold_trials(stream: DataFrame, stage: str, target: str, checkpoint: str) ->
 
     A batch is written to its own folder, replaced as a whole when the batch is
     retried, and reads only earlier batches, so a lost driver or executor changes
-    nothing. Totals are a plain count over the table.
+    nothing. Trials lie in buckets by their job. A batch reads only the buckets of its
+    own jobs, so its cost follows those jobs and not the whole history. Nothing expires:
+    a trial seen once is never counted again. Totals are a plain count over the table.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = valid_trials(batch, stage).dropDuplicates(K.TRIAL)
+        fresh = valid_trials(batch, stage).dropDuplicates(K.TRIAL).withColumn("bucket", _bucket())
         if batch_id > 0:
-            seen = stored_trials(spark, target).where(F.col("batch") < batch_id)
+            # At most ``BUCKETS`` numbers; they prune the folders that are read.
+            touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
+            seen = stored_trials(spark, target).where(
+                (F.col("batch") < batch_id) & F.col("bucket").isin(touched)
+            )
             fresh = fresh.join(seen.select(*K.TRIAL), K.TRIAL, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(fold)
@@ -53,7 +65,7 @@ def fold_trials(stream: DataFrame, stage: str, target: str, checkpoint: str) ->
 
 
 def stored_trials(spark: SparkSession, target: str) -> DataFrame:
-    ddl = ", ".join(f"{c} string" for c in _KEPT) + ", batch int"
+    ddl = ", ".join(f"{c} string" for c in _KEPT) + ", batch int, bucket int"
     return spark.read.schema(ddl).parquet(target)
 
 

@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from gradeloom import constants as C
 from gradeloom.functions.scalars import duration_seconds
 from gradeloom.operators import contract, planning, rubrics, trials
 from gradeloom.plans import report
@@ -120,7 +121,7 @@ def test_report_and_scoped_overwrite(spark, root, tmp_path):
         "max_points double, bonus boolean"
     )
     tables = report.report_tables(table, criteria, rubric)
-    assert len(tables) == 14
+    assert len(tables) == 19
     sinks.write_report(tables, str(tmp_path / "out"))
     written = spark.read.option("header", "true").csv(str(tmp_path / "out/grades_by_assignment"))
     assert written.first().mean_score_pct == "80.0"
@@ -134,6 +135,35 @@ def test_report_and_scoped_overwrite(spark, root, tmp_path):
     sinks.write_scoped(spark.createDataFrame([("C", "HW1", "new")], ddl), target)
     got = {(r.assignment_id, r.status) for r in spark.read.parquet(target).collect()}
     assert got == {("HW1", "new"), ("HW2", "old")}
+    odd = [("C", "HW1"), ("C", "HW2"), ("C", "a/b: 100%")]
+    sinks.write_scoped(spark.createDataFrame([("C", "a/b: 100%", "odd")], ddl), target)
+    sinks.write_scoped(spark.createDataFrame([("C", "HW2", "newer")], ddl), target, odd)
+    got = {(r.assignment_id, r.status) for r in spark.read.schema(ddl).parquet(target).collect()}
+    assert got == {("HW2", "newer")}
+
+
+def test_names_with_plus_percent_and_space_are_kept(spark, tmp_path):
+    names = ["a+b", "a b", "a%20b", "a%b"]
+    for name in names:
+        folder = tmp_path / "solving" / name
+        folder.mkdir(parents=True)
+        (folder / C.RUN_RECORD_FILE).write_text("{}")
+    got = {r.job_name for r in records.read_run_records(spark, str(tmp_path)).collect()}
+    assert got == set(names)
+
+
+def test_repeated_keys_are_read_without_a_file_reader(spark):
+    spark.conf.unset("spark.sql.variant.allowDuplicateKeys")
+    rows = [("solve", "J", '{"stage": "grade", "stage": "solve", "config": {}}'), ("solve", "K", '{"stage": "solve"}')]
+    records_ = trials.parse_run_records(spark.createDataFrame(rows, "stage string, job_name string, text string"))
+    assert {r.job_name for r in records_.select("job_name").collect()} == {"J", "K"}
+
+
+def test_a_root_below_an_archive_folder_archives_nothing(spark):
+    base = "/archive/root/courses/C/rubrics/HW1"
+    rows = [("C", "HW1", f"{base}/zz.md", b"x"), ("C", "HW1", f"{base}/archive/aa.md", b"x")]
+    files = spark.createDataFrame(rows, "course_id string, assignment_id string, path string, content binary")
+    assert rubrics.rubric_versions(files).first().path == f"{base}/zz.md"
 
 
 def _errors(spark, *documents):

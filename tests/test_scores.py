@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,13 +73,17 @@ def test_bootstrap_is_repeatable_and_gated(spark):
     assert ladder.bootstrap_intervals(four, ["course_id"], "assignment_id").count() == 0
 
 
-def test_bootstrap_by_joins_equals_bootstrap_from_arrays(spark):
+def test_bootstrap_equals_its_definition(spark):
     values = _values(spark, [float(i * i) for i in range(9)])
     (a,) = ladder.bootstrap_intervals(values, ["course_id"], "assignment_id", resamples=500).collect()
-    (b,) = ladder.bootstrap_intervals(
-        values, ["course_id"], "assignment_id", resamples=500, array_limit=3
-    ).collect()
-    assert a.ci_low == pytest.approx(b.ci_low) and a.ci_high == pytest.approx(b.ci_high)
+    means = []
+    for resample in range(500):
+        picks = [
+            int(hashlib.md5(f"42|C|{resample}|{i}".encode()).hexdigest()[:8], 16) % 9 for i in range(1, 10)
+        ]
+        means.append(sum(float(p * p) for p in picks) / 9)
+    low, high = np.quantile(means, [0.025, 0.975])
+    assert a.ci_low == pytest.approx(low) and a.ci_high == pytest.approx(high)
 
 
 def graded(trial, item, score, **more):
@@ -140,9 +146,8 @@ def test_repeat_consistency(make_trials):
     (row,) = repeats.repeat_consistency(
         make_trials(*[graded(t, "X", s) for t, s in scores.items()])
     ).collect()
-    assert row.score_pct_values == "8; 90; 92; 95; 97"
     assert (row.median_score_pct, row.range_score_pct, row.range_flagged) == (92.0, 89.0, True)
-    assert (row.n_deviant_gradings, row.deviant_trials) == (1, "J/x2")
+    assert row.n_deviant_gradings == 1
 
 
 def test_repeat_thresholds_are_strict(make_trials):
@@ -153,12 +158,25 @@ def test_repeat_thresholds_are_strict(make_trials):
     assert (table["B"].range_flagged, table["B"].n_deviant_gradings) == (False, 0)
 
 
-def test_lists_above_the_inline_limit_are_in_the_long_tables(make_trials):
-    trials = make_trials(*[graded(f"t{i}", "X", 10.0 * i) for i in range(6)])
-    (row,) = repeats.repeat_consistency(trials, inline_limit=5).collect()
-    assert row.n_gradings == 6 and row.score_pct_values is None and row.deviant_trials is None
-    assert row.n_deviant_gradings == repeats.deviant_gradings(trials).count() == 4
-    assert repeats.repeat_scores(trials).agg(F.sum("n")).first()[0] == 6
+def test_long_tables_hold_every_entry_of_a_large_group(spark, make_trials):
+    n = 12_000
+    one = make_trials(graded("t", "X", 0.0), initial("a", "A", 0.0), judged("f", "A", 75.0, ["a0"]))
+    trials = (
+        one.crossJoin(spark.range(n))
+        .withColumn("trial_name", F.concat("trial_name", F.col("id").cast("string")))
+        .withColumn("score_pct", (F.col("id") % 1000) / 3.0)
+        .drop("id")
+    )
+    rows = {r.config_name + r.item_id: r for r in repeats.repeat_consistency(trials).collect()}
+    row = rows["judgeX"]
+    assert row.n_gradings == n and row.median_score_pct == pytest.approx(166.5)
+    assert row.n_deviant_gradings == repeats.deviant_gradings(trials).where("item_id = 'X'").count() == n * 0.94
+    assert repeats.repeat_scores(trials).where("item_id = 'X'").agg(F.sum("n")).first()[0] == n
+    (queue,) = [r for r in review.review_queue(trials).collect() if r.item_id == "A"]
+    assert (queue.n_initial_gradings, queue.n_final_gradings) == (n, n)
+    assert review.initial_gradings(trials).where("item_id = 'A'").count() == n
+    assert review.final_gradings(trials).where("item_id = 'A'").count() == n
+    assert review.unseen_initial_gradings(trials).count() == queue.n_unseen_initial_gradings == n - 1
 
 
 def initial(trial, item, score, **more):
@@ -200,7 +218,8 @@ def test_review_queue_incomplete_lineage(make_trials):
     a, b = queue["A"], queue["B"]
     assert a.final_outside_range is None and a.prior_min_score_pct is None
     assert (a.n_resolved_prior_gradings, a.n_missing_prior_gradings) == (1, 2)
-    assert a.unseen_initial_trials == "J/a2; J/a3" and a.n_unseen_initial_gradings == 2
+    unseen = {r.initial_trial for r in review.unseen_initial_gradings(trials).collect()}
+    assert unseen == {"J/a2", "J/a3"} and a.n_unseen_initial_gradings == 2
     assert a.review_reasons == (
         "initial_not_in_judge_context; missing_prior_results; unresolved_prior_lineage"
     )
@@ -222,6 +241,22 @@ def test_priority_order(make_trials):
     assert ranks == {"C": 1, "B": 2, "A": 3}
 
 
+def test_priority_rank_of_fractions_is_the_priority_order(spark, make_trials):
+    # Distances and ranges whose whole parts say nothing about their order.
+    shape = {"x1": (0.9, 5.0), "x2": (0.5, 10.0), "x3": (0.2, 30.0), "x4": (1 / 3, 2 / 3), "x5": (1 / 3, 1 / 3)}
+    empty = review.review_queue(make_trials())
+    rows = [
+        {"course_id": "C", "item_id": i, "final_outside_range": True,
+         "final_distance_outside_range_pct": d, "initial_range_score_pct": r}
+        for i, (d, r) in shape.items()
+    ]
+    names = empty.columns
+    queue = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], empty.schema)
+    ranks = {r.item_id: r.priority_rank for r in review.priority_rank(queue).collect()}
+    assert ranks == {"x1": 1, "x2": 2, "x4": 3, "x5": 4, "x3": 5}
+    assert [r.item_id for r in review.priority_order(queue).collect()] == sorted(ranks, key=ranks.get)
+
+
 def test_supersession_needs_a_valid_strict_superset(make_trials):
     trials = make_trials(
         judged("j1", "A", 50.0, ["g1", "g2"]), judged("j2", "A", 50.0, ["g1", "g2", "g3"]),

@@ -34,12 +34,30 @@ def test_quantiles_equal_linear_interpolation_with_a_hot_key(spark):
 def test_numbers_are_consecutive_per_key(spark):
     rows = [(i % 3, i * 7 % 1000) for i in range(900)]
     df = spark.createDataFrame(rows, "k int, x int").distinct()
-    out = numbered(df, ["k"], ["x"], F.floor(F.col("x") / 50), "n").collect()
+    out = numbered(df, ["k"], ["x"], "n").collect()
     for key in range(3):
         ordered = sorted((r for r in out if r.k == key), key=lambda r: r.x)
         assert [r.n for r in ordered] == list(range(1, len(ordered) + 1))
 
 
+def test_numbers_follow_any_order_of_random_rows(spark):
+    draw = random.Random(11)
+    rows = [
+        (draw.choice(["a", None]), draw.choice([0.1, 0.25, 1 / 3, None]), f"same beginning {draw.random()}")
+        for _ in range(2000)
+    ]
+    df = spark.createDataFrame(rows, "k string, x double, name string")
+    order = [F.col("x").desc_nulls_last(), F.col("name").asc()]
+    out = numbered(df, ["k"], order, "n").collect()
+    for key in ("a", None):
+        mine = [r for r in out if r.k == key]
+        mine.sort(key=lambda r: (r.x is None, -(r.x or 0), r.name))
+        assert [r.n for r in mine] == list(range(1, len(mine) + 1))
+    # Names that all begin alike still fill many ranges.
+    spread_out = df.repartitionByRange(4, "k", *order).groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in spread_out) < 0.5 * len(rows)
+
+
 def test_previous_row_crosses_buckets(spark):
     rows = [("a", x) for x in (1, 2, 15, 99, 100)] + [("b", 50)]
     df = spark.createDataFrame(rows, "k string, x int")
