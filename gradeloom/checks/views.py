@@ -281,6 +281,20 @@ class SparkViews:
             )
         return self._pairs[name]
 
+    def build_fixture(self) -> None:
+        """The given tables in the shapes of stored files: what stands before the engine."""
+        for df in (self.kept_trials0, self.record_docs, self.result_docs, self.artifact_docs):
+            df.count()
+
+    def forget_derived(self) -> None:
+        """Drops every kept table that an operator made, so that the next query starts cold."""
+        for name in ("trials", "per_assignment", "student_table", "queue"):
+            if name in self._built:
+                self._built.pop(name).unpersist()
+        for name in list(self._pairs):
+            for df in self._pairs.pop(name):
+                df.unpersist()
+
     @property
     def trials(self) -> DataFrame:
         """The trials view with superseded judgments marked."""

@@ -79,7 +79,7 @@ def test_bootstrap_equals_its_definition(spark):
     means = []
     for resample in range(500):
         picks = [
-            int(hashlib.md5(f"42|C|{resample}|{i}".encode()).hexdigest()[:8], 16) % 9 for i in range(1, 10)
+            int(hashlib.md5(f"42|s|{resample}|{i}".encode()).hexdigest()[:8], 16) % 9 for i in range(1, 10)
         ]
         means.append(sum(float(p * p) for p in picks) / 9)
     low, high = np.quantile(means, [0.025, 0.975])
