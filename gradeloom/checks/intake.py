@@ -466,6 +466,7 @@ from f_uploads where user_id % 4 <> 0"""
       from (select distinct course_id, assignment_id, person_id from f_uploads) u) d""",
 )
 def apply_decisions(v):
+    # Of the customers, those with an order of the first third are frozen by an earlier run.
     as_student = [
         "course_id", "assignment_id", F.col("person_id").alias("student_id"), "sha256",
     ]
@@ -575,7 +576,10 @@ def scan_outcomes(v):
 
 
 def _outcomes(v):
-    """A mixed outcome table over customers: some without a student."""
+    """A mixed outcome table over customers: some without a student.
+
+    The orders left out (one in three) are the rows that are to be found missing.
+    """
     return v.sql(
         """select 'C' || (o_custkey % 25) as course_id, 'HW' || (o_orderkey % 12) as assignment_id,
           case when o_custkey % 50 = 7 then '' else 'S' || o_custkey end as student_id,

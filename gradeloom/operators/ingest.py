@@ -67,19 +67,27 @@ def match_archives(archives: DataFrame, known_ids: DataFrame, explicit: DataFram
     )
 
 
+#: Parts that the students of a course are dealt into.
+COURSE_PARTS = 32
+
+
 def missing_rows(outcomes: DataFrame, students: DataFrame) -> DataFrame:
     """A ``missing`` row for every known student without one, per ingested assignment.
 
     The join on the course is the table asked for: one row per (assignment,
-    student) that is not there.
+    student) that is not there. Students of a course are dealt into parts, and its
+    assignments go to each part, so that a large course is many tasks.
     """
-    covered = outcomes.select("course_id", "assignment_id").distinct()
+    covered = outcomes.select("course_id", "assignment_id").distinct().withColumn(
+        "__part", F.explode(F.sequence(F.lit(0), F.lit(COURSE_PARTS - 1)))
+    )
     present = outcomes.where(F.col("student_id") != "").select(
         "course_id", "assignment_id", "student_id"
     )
     return (
         students.select("course_id", "student_id")
-        .join(covered, "course_id")
+        .withColumn("__part", F.pmod(F.xxhash64("student_id"), F.lit(COURSE_PARTS)).cast("int"))
+        .join(covered, ["course_id", "__part"])
         .join(present, ["course_id", "assignment_id", "student_id"], "left_anti")
         .select(
             "course_id",
