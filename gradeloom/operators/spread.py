@@ -45,33 +45,35 @@ def value_counts(rows: DataFrame, keys: Sequence[str], value: str, count: str =
     return rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias(count))
 
 
+def _in_ranges(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """``rows`` with ``__bucket``: which range of (key, order) holds the row.
+
+    Spark takes the bounds from the rows. The checkpoint fixes them: a range that was
+    computed anew from other bounds would not fit the rest.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    checkpoint_dir(rows.sparkSession)
+    dealt = rows.repartitionByRange(tasks, *keys, *order)
+    return dealt.withColumn("__bucket", F.spark_partition_id()).checkpoint()
+
+
 def exact_quantiles(
     counts: DataFrame,
     keys: Sequence[str],
     value: str,
     probabilities: dict[str, float],
     count: str = "n",
-    buckets: int = 1024,
 ) -> DataFrame:
     """Linear-interpolated quantiles per key from a (key, value, count) table.
 
-    The value range of a key is cut into buckets; a running total over the
-    bucket totals finds the one or two buckets that hold each wanted rank, and
-    only those buckets' values are ordered. No step sorts or holds a whole key.
+    Values lie in ranges whose bounds come from the data, so an outlier fills no
+    range with all the rest; a running total over the range totals finds the one or
+    two ranges that hold each wanted rank, and only their values are ordered. No step
+    sorts or holds a whole key.
     """
     keys = list(keys)
-    spans = counts.groupBy(*keys).agg(
-        F.min(value).alias("__low"), F.max(value).alias("__high"), F.sum(count).alias("__n")
-    )
-    width = F.col("__high") - F.col("__low")
-    place = F.when(
-        width > 0,
-        F.least(
-            F.floor((F.col(value) - F.col("__low")) / width * buckets).cast("int"),
-            F.lit(buckets - 1),
-        ),
-    ).otherwise(0)
-    placed = join_on_keys(counts, spans, keys).withColumn("__bucket", place)
+    sizes = counts.groupBy(*keys).agg(F.sum(count).alias("__n"))
+    placed = join_on_keys(_in_ranges(counts, keys, [value]), sizes, keys)
 
     totals = placed.groupBy(*keys, "__bucket", "__n").agg(F.sum(count).alias("__total"))
     running = Window.partitionBy(*keys).orderBy("__bucket")
@@ -156,19 +158,12 @@ def median_of() -> Column:
 def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
     """Consecutive numbers per key in ``order``, from 1.
 
-    Rows are dealt into ranges of (key, order) whose bounds Spark takes from the rows
-    themselves, so neither a hot key nor a common beginning fills one range. The range
-    of each row is kept by a checkpoint in the shared folder; range sizes are counted
-    and accumulated per key, then each range is numbered on its own.
+    Rows are dealt into ranges of (key, order) whose bounds come from the rows
+    themselves, so neither a hot key nor a common beginning fills one range. Range
+    sizes are counted and accumulated per key, then each range is numbered on its own.
     """
     keys = list(keys)
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    checkpoint_dir(rows.sparkSession)
-    placed = (
-        rows.repartitionByRange(tasks, *keys, *order)
-        .withColumn("__bucket", F.spark_partition_id())
-        .checkpoint()
-    )
+    placed = _in_ranges(rows, keys, order)
     sizes = placed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__size"))
     running = Window.partitionBy(*keys).orderBy("__bucket")
     offsets = sizes.withColumn(
