@@ -373,3 +373,15 @@ def test_given_values_are_gone(spark):
         if r.n_replaced == 0:
             assert r.text == before[r.doc_id]
         assert "@mail" not in (r.text or "") or r.text != before[r.doc_id]
+
+
+def test_a_key_of_many_batches_loses_no_member(spark):
+    """One key over several Arrow batches, between keys of one, two and three members."""
+    rows = spark.range(25_000).selectExpr("7L as key", "id as node", "id as part", "if(id % 5 = 0, -1L, 0L) as rider")
+    few = [(1, 100_001, 1, 0), (2, 100_002, 2, 0), (2, 100_003, 3, 1), (9, 100_004, 4, 0), (9, 100_005, 4, 0), (9, 100_006, 6, 0)]
+    more = spark.createDataFrame(few, "key long, node long, part long, rider long")
+    pairs = {(r.a, r.b) for r in simhash_groups.candidates(rows.unionByName(more)).collect()}
+    # Riders of all ones and of all zeros are far apart: two leaders.
+    expected = {(0, i) for i in range(5, 25_000, 5)} | {(1, i) for i in range(2, 25_000) if i % 5}
+    # 100004 and 100005 are of one part, linked already.
+    assert pairs == expected | {(100_002, 100_003), (100_004, 100_006)}
