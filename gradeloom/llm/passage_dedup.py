@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gradeloom.llm.shared import stored
+
 MIN_WORDS = 12
 _CUT = re.compile(r"(?<=[.!?])[^\S\n]+|\n+")
 
@@ -101,11 +103,14 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Other columns are ignored. An empty table gives no rows.
 
     Digests are pre-aggregated before they are shuffled, and only those seen twice are
-    joined back, so a line that everybody has is one row of the joined side.
+    joined back, so a line that everybody has is one row of the joined side, and its
+    occurrences on the other side can be split over tasks.
     """
     found = units(docs)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "place")
-    repeated = (
+    # Written first: then both sides of the join are dealt out for it alone, and Spark can
+    # split the part of a digest that many documents share.
+    repeated = stored(
         found.groupBy("digest")
         .agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"))
         .where("n > 1")
