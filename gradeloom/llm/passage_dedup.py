@@ -1,10 +1,15 @@
-"""Removal of repeated passages by hashing lines and their sentences.
+"""Removal of repeated passages by hashing lines, their sentences and word windows.
 
 A text is cut at line breaks and behind sentence ends. Each unit is normalised (lower
 case, single spaces) and hashed; digests are grouped over all documents, and the earliest
 occurrence, ranked by ``doc_id`` and place, is kept. Later occurrences go, where a run of
-neighbouring repeats has at least ``MIN_WORDS`` words: chance repeats of short sentences
-stay. The cleaned text comes with the original offsets of all that was taken out.
+neighbouring repeats has at least ``MIN_WORDS`` words or covers whole lines: chance
+repeats of short sentences stay.
+
+A passage that starts and ends inside sentences is found by windows of ``MIN_WORDS`` words,
+whatever units they lie in. Of each ``SPREAD`` neighbouring windows the one of smallest hash
+is kept (winnowing), so texts that share ``MIN_WORDS + SPREAD - 1`` words in a row share a
+window. The cleaned text comes with the original offsets of all that was taken out.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -20,7 +26,9 @@ from pyspark.sql import functions as F
 from gradeloom.llm.shared import stored
 
 MIN_WORDS = 12
+SPREAD = 16
 _CUT = re.compile(r"(?<=[.!?])[^\S\n]+|\n+")
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
 def bounds(text: str) -> list[int]:
@@ -33,25 +41,87 @@ def normalised(unit: str) -> str:
     return " ".join(unit.lower().split())
 
 
-def removed_spans(text: str, repeats: set[int], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
-    """``(start, length)`` of runs of repeated units with enough words.
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return found
+
+
+def windows(text: str, known: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers at which the kept windows of a text start, and their digests."""
+    known = _WordHashes() if known is None else known
+    words = text.lower().split()
+    n = len(words) - MIN_WORDS + 1
+    if n < 1:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    hashes = np.array([known[w] for w in words], dtype=np.uint64)
+    digests = np.zeros(n, dtype=np.uint64)
+    for i in range(MIN_WORDS):
+        digests = (digests ^ (digests >> np.uint64(29))) * _MIX[0] + hashes[i : i + n]
+    digests = (digests ^ (digests >> np.uint64(30))) * _MIX[1]
+    digests ^= digests >> np.uint64(31)
+    wide = min(SPREAD, n)
+    low = np.lib.stride_tricks.sliding_window_view(digests, wide).argmin(axis=1)
+    at = np.unique(low + np.arange(n - wide + 1))
+    return at, digests[at].view(np.int64)
+
+
+def window_runs(text: str, repeats: dict[int, int | None]) -> list[tuple[int, int]]:
+    """``(start, end)`` of stretches that repeated windows cover, in code points.
+
+    ``repeats`` maps the word at which a window starts to the one at which its earliest
+    occurrence starts, if that is in the same text: what it covers itself is kept.
+    """
+    starts, spans = [m.start() for m in re.finditer(r"\S+", text)], []
+    starts.append(len(text))
+    for at in sorted(repeats):
+        own = repeats[at]
+        a, b = at if own is None else max(at, own + MIN_WORDS), at + MIN_WORDS
+        if a >= b:
+            continue
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+        else:
+            spans.append((a, b))
+    return [(starts[a], starts[b]) for a, b in spans]
+
+
+def removed_spans(
+    text: str, repeats: set[int], min_words: int = MIN_WORDS, runs: list[tuple[int, int]] = ()
+) -> list[tuple[int, int]]:
+    """``(start, length)`` of repeats with enough words, or that are whole lines.
 
     ``repeats`` are numbers of units that occur earlier elsewhere. Units without words
-    neither end a run nor begin one.
+    neither end a run nor begin one. ``runs`` are stretches that repeat whatever the units.
     """
-    cuts, spans = bounds(text), []
-    begin, end, words = None, 0, 0
+    cuts, found = bounds(text), list(runs)
+    begin, end = None, 0
     for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        count = len(text[a:b].split())
         if i in repeats:
-            begin = a if begin is None else begin
-            end, words = b, words + count
-        elif count:
-            if begin is not None and words >= min_words:
-                spans.append((begin, end - begin))
-            begin, words = None, 0
-    if begin is not None and words >= min_words:
-        spans.append((begin, end - begin))
+            begin, end = a if begin is None else begin, b
+        elif begin is not None and text[a:b].strip():
+            found.append((begin, end))
+            begin = None
+    if begin is not None:
+        found.append((begin, end))
+    joined: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if joined and a <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+        else:
+            joined.append((a, b))
+    spans = []
+    for a, b in joined:
+        # A short stretch goes as far as it is whole lines.
+        if len(text[a:b].split()) < min_words:
+            if a and text[a - 1] != "\n":
+                a = text.find("\n", a, b) + 1 or b
+            if b < len(text) and text[b - 1] != "\n":
+                b = text.rfind("\n", a, b) + 1 or a
+        if text[a:b].strip():
+            spans.append((a, b - a))
     return spans
 
 
@@ -61,10 +131,14 @@ def _row_key(text: str) -> int:
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """``digest, doc_id, row_key, place`` for every unit that has words."""
+    """``digest, doc_id, row_key, place`` for every unit that has words, and every window.
+
+    Places of units are even (twice the unit's number), those of windows odd (twice the
+    number of the first word, and one).
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
+        digest, known = xxhash.xxh64_intdigest, _WordHashes()
         for batch in batches:
             ids, keys, places, digests = [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -74,8 +148,13 @@ def units(docs: DataFrame) -> DataFrame:
                     if plain:
                         ids.append(doc_id)
                         keys.append(key)
-                        places.append(i)
+                        places.append(2 * i)
                         digests.append(digest(plain.encode("utf-8", "surrogatepass")) - 2**63)
+                at, hashes = windows(text, known)
+                ids += [doc_id] * len(at)
+                keys += [key] * len(at)
+                places += (2 * at + 1).tolist()
+                digests += hashes.tolist()
                 if len(ids) > 50_000:
                     yield batch_of(ids, keys, places, digests)
                     ids, keys, places, digests = [], [], [], []
@@ -116,18 +195,13 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .where("n > 1")
         .select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.row_key").alias("first_key"), F.col("first.place").alias("first_place"))
     )
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("row_key") == F.col("first_key"))
     later = (
         found.join(repeated, "digest")
-        .where(
-            ~(
-                F.col("doc_id").eqNullSafe(F.col("first_id"))
-                & (F.col("row_key") == F.col("first_key"))
-                & (F.col("place") == F.col("first_place"))
-            )
-        )
-        # Places of one text: as many at most as the text has units.
+        .where(~(same & (F.col("place") == F.col("first_place"))))
+        # Places of one text: as many at most as the text has units and windows.
         .groupBy("doc_id", "row_key")
-        .agg(F.collect_set("place").alias("places"))
+        .agg(F.collect_set(F.struct("place", F.when(same, F.col("first_place")).alias("own"))).alias("places"))
         .withColumnRenamed("doc_id", "of_id")
         .withColumnRenamed("row_key", "of_key")
     )
@@ -143,7 +217,12 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for batch in batches:
             texts, spans = [], []
             for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                out = removed_spans(text, set(places), min_words) if places else []
+                out = []
+                if places:
+                    found = [(p["place"], p["own"]) for p in places]
+                    inside = {p >> 1: None if own is None else own >> 1 for p, own in found if p & 1}
+                    units_ = {p >> 1 for p, _ in found if not p & 1}
+                    out = removed_spans(text, units_, min_words, window_runs(text, inside) if inside else ())
                 at, kept = 0, []
                 for start, length in out:
                     kept.append(text[at:start])

@@ -385,3 +385,37 @@ def test_a_key_of_many_batches_loses_no_member(spark):
     expected = {(0, i) for i in range(5, 25_000, 5)} | {(1, i) for i in range(2, 25_000) if i % 5}
     # 100004 and 100005 are of one part, linked already.
     assert pairs == expected | {(100_002, 100_003), (100_004, 100_006)}
+
+
+# -- Findings of the second round ------------------------------------------------------------
+
+
+def prose(seed, n, stop_every=0):
+    draw = np.random.default_rng(seed)
+    words = ["".join(chr(97 + c) for c in draw.integers(0, 26, draw.integers(3, 9))) for _ in range(n)]
+    return [w + "." if stop_every and i % stop_every == stop_every - 1 else w for i, w in enumerate(words)]
+
+
+def test_a_passage_spliced_inside_sentences_goes(spark):
+    rows, passages = [], {}
+    for k, (size, stop) in enumerate([(50, 0), (60, 25), (80, 30), (70, 0), (50, 20)]):
+        passage = prose(100 + k, size, stop)
+        for copy in range(2):
+            around = prose(200 + 2 * k + copy, 60)
+            rows.append((2 * k + copy, " ".join([*around[:30], *passage, *around[30:]]) + "."))
+        passages[2 * k + 1] = (passage, around)
+    # A short line that many documents repeat goes as well, but not a short sentence.
+    rows += [(20 + i, " ".join(prose(300 + i, 30)) + "\nshare this page\n" + "Yes it is. " + " ".join(prose(400 + i, 30))) for i in range(3)]
+    # What a text repeats of itself is kept once.
+    rows.append((30, " ".join(["again", *prose(500, 29)] * 3)))
+    texts = dict(rows)
+    out = {r.doc_id: r for r in passage_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (passage, around) in passages.items():
+        assert out[i - 1].text == texts[i - 1]
+        left = out[i].text.rstrip(".").split()
+        assert len(left) <= 60 + 2 * (passage_dedup.SPREAD - 1)
+        assert left[:30] == around[:30] and left[-30:] == around[30:]
+    assert ["share this page" in out[20 + i].text for i in range(3)] == [True, False, False]
+    assert all("Yes it is." in out[20 + i].text for i in range(3))
+    kept = out[30].text.split()
+    assert kept[:30] == texts[30].split()[:30] and len(kept) < 60
