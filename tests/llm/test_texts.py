@@ -419,3 +419,18 @@ def test_a_passage_spliced_inside_sentences_goes(spark):
     assert all("Yes it is." in out[20 + i].text for i in range(3))
     kept = out[30].text.split()
     assert kept[:30] == texts[30].split()[:30] and len(kept) < 60
+
+
+def test_added_tokens_have_the_ids_of_the_json(spark):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(packing.tokenizer_path("byte_bpe_50k.json"))
+    encode = packing.encoder(packing.tokenizer_path())
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> <|endoftext|>\n y", "<|endoftext", "<<|endoftext|>|>", "plain text"]
+    for text in texts:
+        assert encode(text) == model.encode(text, add_special_tokens=False).ids
+    assert encode(texts[0]) == [64, 50256, 65]
+    ids_of = {i: np.array([*model.encode(t, add_special_tokens=False).ids, 1], dtype="<u4") for i, t in enumerate(texts)}
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id for r in rows} == set(ids_of)
+    check_pieces(rows, ids_of)
