@@ -434,3 +434,16 @@ def test_added_tokens_have_the_ids_of_the_json(spark):
     rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id for r in rows} == set(ids_of)
     check_pieces(rows, ids_of)
+
+
+def test_a_template_family_hides_no_pair(spark):
+    """Over a thousand documents alike to 0.7, and among them pairs at 0.9."""
+    base, rows = prose(900, 150), []
+    for i in range(1050):
+        rows.append((i, " ".join([*base[:64], *prose(10_000 + i, 22), *base[86:]])))
+    for i in range(0, 1050, 35):
+        words = rows[i][1].split()
+        rows.append((2000 + i, " ".join([*words[:120], *prose(20_000 + i, 3), *words[123:]])))
+    kept = {r.doc_id for r in simhash_groups.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(1050)) <= kept
+    assert len(kept) - 1050 <= 2
