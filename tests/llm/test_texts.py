@@ -447,3 +447,15 @@ def test_a_template_family_hides_no_pair(spark):
     kept = {r.doc_id for r in simhash_groups.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert set(range(1050)) <= kept
     assert len(kept) - 1050 <= 2
+
+
+def test_repeats_within_a_text_neither_make_nor_hide_a_near_copy(spark):
+    line, body = " ".join(prose(800, 40)), " ".join(prose(801, 600))
+    rows = [
+        # Boilerplate repeated sixty times; the rest differs.
+        (1, "\n".join([line] * 60 + [" ".join(prose(802, 600))])), (2, "\n".join([line] * 60 + [" ".join(prose(803, 600))])),
+        # The same distinct words but for the times that a passage is repeated.
+        (3, body + " " + " ".join(prose(804, 40))), (4, body + " " + " ".join(prose(804, 40) * 60)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_groups.one_of_each(docs).collect()) == [1, 2, 3]
