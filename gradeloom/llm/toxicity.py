@@ -41,6 +41,8 @@ SCOPE = 3
 STEMS = (4, 5, 6, 7)
 #: Labelled rows that the model is fitted on, at most, and entries of its lexicon.
 MAX_LABELLED, MAX_LEXICON = 20_000, 4_000
+#: Distinct toxic texts, and different surroundings in them, that an entry needs at least.
+LEAST = 3
 #: How many standard errors an entry's log-odds must lie above zero.
 STRICTNESS = 3.0
 
@@ -241,17 +243,23 @@ def _contexts(rows: DataFrame, entries: list[str]) -> DataFrame:
     )
 
 
-def learned_lexicon(rows: DataFrame, n_toxic: int, n_clean: int) -> Lexicon:
-    """Words and word beginnings that are surely commoner in toxic texts."""
+def learned_lexicon(rows: DataFrame) -> Lexicon:
+    """Words and word beginnings that are surely commoner in toxic texts.
+
+    Each distinct text counts once for each of its labels, however many copies it has.
+    """
+    rows = rows.dropDuplicates(["text", "toxic"]).persist()
+    sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    odds = F.log(a / (n_toxic + 1.0)) - F.log(b / (n_clean + 1.0))
+    odds = F.log(a / (sizes.get(1, 0) + 1.0)) - F.log(b / (sizes.get(0, 0) + 1.0))
     bound = odds - STRICTNESS * F.sqrt(1 / a + 1 / b)
     ranked = (
-        _counts(rows).where("toxic >= 3").withColumn("odds", odds).withColumn("bound", bound)
+        _counts(rows).where(F.col("toxic") >= LEAST).withColumn("odds", odds).withColumn("bound", bound)
         .where("bound > 0").orderBy(F.desc("bound"), "entry").limit(MAX_LEXICON).collect()
     )
     contexts = {r["entry"]: r["contexts"] for r in _contexts(rows, [r["entry"] for r in ranked]).collect()} if ranked else {}
-    kept = {r["entry"]: min(r["odds"], 6.0) for r in ranked if contexts.get(r["entry"], 0) >= 0.5 * r["toxic"]}
+    rows.unpersist()
+    kept = {r["entry"]: min(r["odds"], 6.0) for r in ranked if contexts.get(r["entry"], 0) >= LEAST}
     return Lexicon(
         {k: v for k, v in kept.items() if not k.endswith("*")},
         {k[:-1]: v for k, v in kept.items() if k.endswith("*")},
@@ -296,7 +304,7 @@ def scored(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
         share = F.lit(n_toxic / max(1, n_toxic + n_clean))
         out = rows.select("doc_id", share.alias("score"))
     else:
-        lexicon = learned_lexicon(training, n_toxic, n_clean)
+        lexicon = learned_lexicon(training)
         sample = _featured(training.select(F.col("toxic").cast("long").alias("toxic"), "text"), lexicon, "toxic").collect()
         weights = fitted(
             np.array([r["features"] for r in sample]), np.array([r["toxic"] for r in sample], dtype=float)

@@ -325,3 +325,22 @@ def test_given_documents_are_mixed_whole(spark):
     rows = queries.op10_temperature_mixture(spark, FOLDER).collect()
     ids = {i for (i,) in duckdb.sql(f"select doc_id from '{FOLDER}/documents.parquet'").fetchall()}
     assert {r.doc_id for r in rows} == ids
+
+
+# -- Findings of the second round ------------------------------------------------------------
+
+
+def test_copies_of_a_toxic_text_hide_no_insult(spark):
+    draw = np.random.default_rng(5)
+    insults = [f"{c}nsult" for c in "abcdefghij"]
+
+    def text(extra):
+        words = ["".join(chr(97 + c) for c in draw.integers(0, 8, 4)) for _ in range(60)]
+        for w in extra:
+            words.insert(int(draw.integers(1, len(words))), w)
+        return " ".join(words)
+
+    rows = [(text(draw.choice(insults, 4, replace=False)), 1) for _ in range(100)] + [(text([]), 0) for _ in range(300)]
+    rows += [(text(insults), 1)] * 200
+    lexicon = toxicity.learned_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert all(lexicon.read(w) and lexicon.read(w)[0] == "INSULT" for w in insults)
