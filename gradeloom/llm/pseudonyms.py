@@ -43,6 +43,11 @@ PHONE = (
     r"|(?<![\w.+-])\d{3}([.-])\d{3}\2\d{4}(?![\w-])"
 )
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"
+#: Groupings of card numbers that are tried within a run of digits, the usual ones first.
+CARD_SHAPES = (
+    r"\d{4}([ -])\d{4}\2\d{4}\2\d{4}", r"\d{4}([ -])\d{6}\2\d{5}", r"\d{4}([ -])\d{6}\2\d{4}", r"\d{13,19}",
+    r"\d{4}([ -])\d{4}\2\d{4}\2\d{4}\2\d{1,3}",
+)
 PATTERN = "|".join((EMAIL, SECRET, IBAN, DATE, SSN, ADDRESS, PHONE, CARD))
 
 
@@ -153,6 +158,51 @@ def _card(text: Column, key: str, backwards: bool) -> Column:
     return _let(_digits(text), work)
 
 
+def _cards(run: Column, key: str, backwards: bool) -> Column:
+    """``run`` with the first grouping in it that is a card number replaced, or itself.
+
+    A number of other digits may stand before or behind a card with one space between.
+    """
+    tried = F.concat(
+        *[F.regexp_extract_all(run, F.lit(rf"(?<![0-9])(?=({shape})(?![0-9]))"), F.lit(1)) for shape in CARD_SHAPES],
+        F.array(run),
+    )
+
+    def put(card: Column) -> Column:
+        at = F.instr(run, card)
+        return F.when(card.isNull(), run).otherwise(
+            F.concat(
+                F.substring(run, F.lit(1), at - 1), _card(card, key, backwards),
+                F.substring(run, at + F.length(card), F.length(run)),
+            )
+        )
+
+    numbers = F.filter(tried, lambda c: F.length(_digits(c)).between(13, 19) & (_luhn(_digits(c)) == 0))
+    return _let(F.get(numbers, F.lit(0)), put)
+
+
+def _ibans(run: Column, key: str, backwards: bool) -> Column:
+    """``run`` with its longest beginning of whole groups that is an IBAN replaced.
+
+    A capital word may stand behind the IBAN, or a card number.
+    """
+    parts = F.split(run, " ")
+    tried = F.transform(
+        F.sequence(F.size(parts), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, 1, k), " ")
+    )
+
+    def good(text: Column) -> Column:
+        plain = F.regexp_replace(text, " ", "")
+        rearranged = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
+        return (F.length(plain) >= 12) & (_remainder97(rearranged) == 1)
+
+    def put(iban: Column) -> Column:
+        rest = F.substring(run, F.length(iban) + 1, F.length(run))
+        return F.when(iban.isNull(), run).otherwise(F.concat(_iban(iban, key, backwards), _cards(rest, key, backwards)))
+
+    return _let(F.get(F.filter(tried, good), F.lit(0)), put)
+
+
 def _iban(text: Column, key: str, backwards: bool) -> Column:
     def work(plain: Column) -> Column:
         body = _by_letter(F.substring(plain, F.lit(5), F.length(plain)), "iban", key, backwards)
@@ -175,8 +225,9 @@ def _date(text: Column, key: str, backwards: bool) -> Column:
     Days and months of one digit come out with two.
     """
     dashed = text.rlike("^[0-9]{4}-")
+    turned = ~dashed & _day(text).isNull()
 
-    def work(day: Column) -> Column:
+    def step(day: Column) -> Column:
         number = F.datediff(day, F.lit(CYCLE_START).cast("date")).cast("long")
         cycle = F.floor(number / CYCLE_DAYS)
         within = F.pmod(number, F.lit(CYCLE_DAYS))
@@ -185,24 +236,35 @@ def _date(text: Column, key: str, backwards: bool) -> Column:
             F.array(F.floor(within / second), within % second),
             F.array(F.lit(first).cast("long"), F.lit(second).cast("long")), "date", key, backwards,
         )
-        moved = F.date_add(
+        return F.date_add(
             F.lit(CYCLE_START).cast("date"),
             (cycle * CYCLE_DAYS + F.element_at(new, 1) * second + F.element_at(new, 2)).cast("int"),
         )
+
+    def work(day: Column) -> Column:
+        # Month before day is a format of its own, of days past the 12th: the permutation
+        # is followed until it meets one (two of five days are none).
+        again = F.sequence(F.lit(1), F.when(turned, 80).otherwise(1))
+        moved = F.aggregate(again, day, lambda d, i: F.when((i == 1) | (F.dayofmonth(d) < 13), step(d)).otherwise(d))
+        return _let(moved, show)
+
+    def show(moved: Column) -> Column:
         mark = F.substring(F.regexp_replace(text, "[0-9]", ""), 1, 1)
-        return F.when(dashed, F.date_format(moved, "yyyy-MM-dd")).otherwise(
+        return F.when(dashed, F.date_format(moved, "yyyy-MM-dd")).when(
+            turned, F.concat(F.date_format(moved, "MM"), mark, F.date_format(moved, "dd"), mark, F.date_format(moved, "yyyy"))
+        ).otherwise(
             F.concat(F.date_format(moved, "dd"), mark, F.date_format(moved, "MM"), mark, F.date_format(moved, "yyyy"))
         )
 
-    return _let(_day(text), work)
+    return _let(F.coalesce(_day(text), _day(text, month_first=True)), work)
 
 
-def _day(text: Column) -> Column:
+def _day(text: Column, month_first: bool = False) -> Column:
     """The calendar day of a notation; null where there is none."""
     dashed = F.try_to_date(text, "yyyy-MM-dd")
     parts = F.split(text, "[/.]")
     other = F.concat_ws(
-        "-", F.element_at(parts, 3), F.lpad(F.element_at(parts, 2), 2, "0"), F.lpad(F.element_at(parts, 1), 2, "0")
+        "-", F.get(parts, F.lit(2)), *(F.lpad(F.get(parts, F.lit(i)), 2, "0") for i in ((0, 1) if month_first else (1, 0)))
     )
     return F.when(text.rlike("^[0-9]{4}-"), dashed).otherwise(F.try_to_date(other, "yyyy-MM-dd"))
 
@@ -277,24 +339,20 @@ def pseudonym(found: Column, key: str, backwards: bool = False) -> Column:
     def whole(pattern: str) -> Column:
         return found.rlike(f"^(?:{pattern})$")
 
-    plain = F.regexp_replace(found, " ", "")
-    rearranged = F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
     octets = F.transform(F.split(found, r"\."), lambda p: p.cast("long"))
     good_ssn = found.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$")
     # A match before anchors may end earlier than the whole value; kinds are told apart here.
     return (
         F.when(found.contains("@"), _email(found, key, backwards))
         .when(found.rlike("^[A-Za-z_-]+[\"']?\\s{0,4}[=:]"), _secret(found, key, backwards))
-        .when(found.rlike("^[A-Z]{2}[0-9]{2}"), F.when(_remainder97(rearranged) == 1, _iban(found, key, backwards)).otherwise(found))
+        .when(found.rlike("^[A-Z]{2}[0-9]{2}"), _ibans(found, key, backwards))
         .when(whole(r"\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4}"),
-              F.when(_day(found).isNotNull(), _date(found, key, backwards)).otherwise(found))
+              F.when(F.coalesce(_day(found), _day(found, month_first=True)).isNotNull(), _date(found, key, backwards)).otherwise(found))
         .when(whole(r"\d{3}-\d{2}-\d{4}"), F.when(good_ssn, _ssn(found, key, backwards)).otherwise(found))
         .when(whole(r"(?:\d{1,3}\.){3}\d{1,3}"),
               F.when(F.forall(octets, lambda o: o < 256), _address(found, key, backwards)).otherwise(found))
         .when(found.rlike(r"^[+(]") | whole(r"\d{3}([.-])\d{3}\1\d{4}"), _phone(found, key, backwards))
-        .otherwise(
-            F.when(_luhn(_digits(found)) == 0, _card(found, key, backwards)).otherwise(found)
-        )
+        .otherwise(_cards(found, key, backwards))
     )
 
 

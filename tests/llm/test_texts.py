@@ -459,3 +459,20 @@ def test_repeats_within_a_text_neither_make_nor_hide_a_near_copy(spark):
     ]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash_groups.one_of_each(docs).collect()) == [1, 2, 3]
+
+
+def test_values_beside_other_numbers_and_words_are_found(spark):
+    cases = {
+        "pay 4111 1111 1111 1111 12/26 now": "4111 1111 1111 1111", "4111111111111111 123": "4111111111111111",
+        "4041894974608795 2 items": "4041894974608795", "order 12 4111 1111 1111 1111": "4111 1111 1111 1111",
+        "to BE68 5390 0754 7034 AND more": "BE68 5390 0754 7034", "born 12/25/1999, ": "12/25/1999", "on 02.28.2001": "02.28.2001",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    replaced = pseudonyms.pseudonymised(docs, "k")
+    out = {r.doc_id: r for r in replaced.collect()}
+    for i, (text, value) in enumerate(cases.items()):
+        before, after = text.split(value)
+        assert out[i].n_replaced == 1 and value not in out[i].text
+        assert out[i].text.startswith(before) and out[i].text.endswith(after) and len(out[i].text) == len(text)
+    back = {r.doc_id: r.text for r in pseudonyms.pseudonymised(replaced, "k", backwards=True).collect()}
+    assert [back[i] for i in range(len(cases))] == list(cases)
