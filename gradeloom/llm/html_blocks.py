@@ -30,6 +30,12 @@ IMPLIED = {
 }
 SCOPES = {"ul", "ol", "dl", "table", "select", "menu", "article", "section", "div", "body", "nav", "aside", "main"}
 
+#: What may stand in a page's head; any other start tag ends it, as text does.
+IN_HEAD = set("base basefont bgsound link meta title script style noscript template head html".split())
+#: Hidden elements that hold tags. One without an end tag ends at the next block.
+LOOSE = HIDDEN - set(RAW) - {"head"}
+_LOOSE_TAG = re.compile(rf"<(/?)({'|'.join(sorted(LOOSE))})(?=[\s/>])", re.I)
+
 # A tag holds no "<" outside quoted values, and a tag whose quotes do not close ends at the
 # next ">": each try looks a bounded way ahead, so reading stays linear in the page.
 _TAG = re.compile(
@@ -37,7 +43,7 @@ _TAG = re.compile(
     r"<(/?)([a-zA-Z][^\s<>/]{0,64}+)(?:((?:[^<>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+')*+)>|([^<>]*+)>)",
     re.S,
 )
-#: Innermost open elements that a block remembers.
+#: Innermost open block-level elements that a block remembers.
 DEPTH = 64
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|style|aria-label|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
@@ -63,6 +69,18 @@ def _words(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def _unclosed(html: str) -> set[int]:
+    """Where elements of ``LOOSE`` start that have no end tag of their own."""
+    waiting: dict[str, list[int]] = {name: [] for name in LOOSE}
+    for match in _LOOSE_TAG.finditer(html):
+        starts = waiting[match[2].lower()]
+        if not match[1]:
+            starts.append(match.start())
+        elif starts:
+            starts.pop()
+    return {at for starts in waiting.values() for at in starts}
+
+
 def blocks(html: str) -> list[Block]:
     """The blocks with text, in page order."""
     out: list[Block] = []
@@ -71,12 +89,16 @@ def blocks(html: str) -> list[Block]:
     linked = 0
     open_now: Counter[str] = Counter()
     hidden = 0
+    #: Block-level elements of the stack, and where in the stack unclosed hidden ones are.
+    outer: list[tuple[str, frozenset[str]]] = []
+    loose: list[int] = []
+    unclosed = _unclosed(html)
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(pieces)).split())
         if text:
-            out.append(Block(text, [x for x in stack[-DEPTH:] if x[0] not in INLINE], min(linked, len(text))))
+            out.append(Block(text, outer[-DEPTH:], min(linked, len(text))))
         pieces.clear()
         linked = 0
 
@@ -87,12 +109,18 @@ def blocks(html: str) -> list[Block]:
         for tag, _ in stack[upto:]:
             open_now[tag] -= 1
             hidden -= tag in HIDDEN
+            if tag not in INLINE:
+                outer.pop()
         del stack[upto:]
+        while loose and loose[-1] >= upto:
+            loose.pop()
 
     at, end = 0, len(html)
     while at < end:
         match = _TAG.search(html, at)
         stop = match.start() if match else end
+        if stack and stack[-1][0] == "head" and html[at:stop].strip():
+            close(len(stack) - 1)
         if stop > at and not hidden:
             raw = html[at:stop]
             pieces.append(raw)
@@ -112,6 +140,10 @@ def blocks(html: str) -> list[Block]:
             elif name not in INLINE:
                 flush()
             continue
+        if open_now["head"] and name not in IN_HEAD:
+            close(next(i for i, x in enumerate(stack) if x[0] == "head"))
+        if loose and (name in CLOSES_P or name in IMPLIED and name != "option" or name == "body"):
+            close(loose[0])
         if name == "br":
             pieces.append(" ")
             continue
@@ -137,7 +169,11 @@ def blocks(html: str) -> list[Block]:
             over = re.compile(rf"</{name}\s*>", re.I).search(html, at)
             at = over.end() if over else (end if name in ("script", "style") else at)
             continue
+        if match.start() in unclosed:
+            loose.append(len(stack))
         stack.append((name, _words(attributes)))
+        if name not in INLINE:
+            outer.append(stack[-1])
         open_now[name] += 1
         hidden += name in HIDDEN
     flush()

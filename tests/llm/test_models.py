@@ -344,3 +344,17 @@ def test_copies_of_a_toxic_text_hide_no_insult(spark):
     rows += [(text(insults), 1)] * 200
     lexicon = toxicity.learned_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
     assert all(lexicon.read(w) and lexicon.read(w)[0] == "INSULT" for w in insults)
+
+
+def test_open_hidden_elements_end_where_browsers_end_them():
+    def texts(source):
+        return [b.text for b in html_blocks.blocks(source)]
+
+    assert texts("<html><head><title>t</title><meta charset=x><body><p>one<p>two") == ["one", "two"]
+    assert texts("<head><title>t</title><link rel=x><div>one</div><p>two</p>") == ["one", "two"]
+    assert texts("<head><title>t</title>\n text <p>two</p>") == ["text", "two"]
+    for tag in ("select", "svg", "object"):
+        assert texts(f"<body><div><{tag}>inside<p>one</p><p>two</p></div>") == ["one", "two"]
+        assert texts(f"<body><div><{tag}>in<p>side</p></{tag}><p>one</p></div>") == ["one"]
+    block = html_blocks.blocks("<body><nav>" + "<b>" * 100 + "menu")[0]
+    assert [tag for tag, _ in block.path] == ["body", "nav"]
