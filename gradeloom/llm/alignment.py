@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from gradeloom.llm.shared import stored, whole_text
 
 #: Bytes of text in a block, and its blocks that a task can number.
-BLOCK_BYTES, RUNS = 16_000_000, 1 << 24
+BLOCK_BYTES, RUNS = 6_000_000, 1 << 24
 #: Units whose alignment a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: An id pair as one number: a * WIDTH + b.
 WIDTH = 1 << 20
 _SPACE = "▁"
