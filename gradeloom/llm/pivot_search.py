@@ -22,7 +22,7 @@ from gradeloom.llm.shared import stored
 
 SHARD_VECTORS, QUERY_BLOCK = 8192, 1024
 #: Pivots, and the vectors among which they are chosen.
-PIVOTS, SAMPLE = 64, 2048
+PIVOTS, SAMPLE = 32, 2048
 #: Queries whose bounds are held at once, and products computed between two looks at the threshold.
 TOGETHER, STEP = 64, 512
 #: Components beyond this have no place in a sum of 64 bits.
@@ -63,13 +63,23 @@ def upper_bounds(to_query: np.ndarray, table: np.ndarray, lengths: np.ndarray, l
     """What the product of each query (rows) and candidate (columns) is at most.
 
     ``to_query`` are the queries' distances to the pivots, ``lengths`` their squared
-    lengths. Rounding is covered by a millionth of the largest squared distance.
+    lengths; ``table`` has a row for each pivot. Distances are held in single precision,
+    which the last term covers.
     """
-    low = np.zeros((len(to_query), len(table)))
-    for p in range(table.shape[1]):
-        np.maximum(low, np.abs(to_query[:, p : p + 1] - table[:, p]), out=low)
-    scale = longest + lengths[:, None]
-    return (scale - low * low) / 2 + 1e-6 * (scale + 1)
+    low = np.zeros((len(to_query), table.shape[1]), dtype=np.float32)
+    gap = np.empty_like(low)
+    for p, to_pivot in enumerate(table):
+        np.subtract(to_query[:, p : p + 1], to_pivot, out=gap)
+        np.abs(gap, out=gap)
+        np.maximum(low, gap, out=low)
+    scale = (longest + lengths[:, None]).astype(np.float32)
+    low *= low
+    return (scale - low) / 2 + np.float32(4e-6) * (scale + 1)
+
+
+def product_type(longest: float) -> type:
+    """The fastest type in which products up to ``longest`` are exact whole numbers."""
+    return np.float32 if longest < 2.0**23 else np.float64 if longest < 2.0**52 else np.int64
 
 
 def answer(
@@ -82,7 +92,7 @@ def answer(
     ``k``-th of all answers is known to reach.
     """
     open_ = np.flatnonzero(bound >= floor)
-    order = open_[np.argsort(-bound[open_], kind="stable")]
+    order = open_[np.argsort(-bound[open_])]
     vec, score, done = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), 0
     while done < len(order) and bound[order[done]] >= floor:
         nodes = order[done : done + STEP]
@@ -167,7 +177,7 @@ def _nearest_of_size(
         ids = [np.asarray(i, dtype=np.int64) for i in group["ids"]]
         return pd.DataFrame({
             "shard": [int(group["shard"].iloc[0])], "n": [len(x)], "vectors": [x.tobytes()],
-            "table": [distances(lengthened(x.astype(np.float64), longest), at).astype("<f8").tobytes()],
+            "table": [distances(lengthened(x.astype(np.float64), longest), at).T.astype("<f4").tobytes()],
             "ids": [np.concatenate(ids).astype("<i8").tobytes()],
             "counts": [np.array([len(i) for i in ids], dtype="<i4").tobytes()],
         })
@@ -180,25 +190,24 @@ def _nearest_of_size(
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         part = index_part.iloc[0]
         x = np.frombuffer(part["vectors"], dtype="<i8").reshape(int(part["n"]), -1)
-        table = np.frombuffer(part["table"], dtype="<f8").reshape(len(x), -1)
+        table = np.frombuffer(part["table"], dtype="<f4").reshape(len(at), -1)
         ids = np.frombuffer(part["ids"], dtype="<i8")
         first = np.append(0, np.cumsum(np.frombuffer(part["counts"], dtype="<i4")))
         given = np.stack(queries["vector"].to_numpy()).astype(np.int64)
         names = queries["query_id"].to_numpy()
-        # Products below 2 ** 53 are exact as doubles, which multiply faster.
-        exact = longest < 2.0**52
-        x, given = (x.astype(np.float64), given.astype(np.float64)) if exact else (x, given)
+        x, whole = x.astype(product_type(longest)), given.astype(product_type(longest))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for low in range(0, len(given), TOGETHER):
             q, own_ids = given[low : low + TOGETHER].astype(np.float64), names[low : low + TOGETHER]
             lengths = (q * q).sum(axis=1)
-            to_query = distances(np.column_stack([q, np.zeros(len(q))]), at)
+            to_query = distances(np.column_stack([q, np.zeros(len(q))]), at).astype(np.float32)
             bounds = upper_bounds(to_query, table, lengths, longest)
             known = q @ sample.T
             for n, name in enumerate(own_ids):
-                others = np.sort(known[n][sample_of[sample_ids != name]])
-                floor = others[-k] - 1e-6 * (longest + 1) if len(others) >= k else -np.inf
-                vec, score, _ = answer(given[low + n], name, bounds[n], x, ids, first, floor, k)
+                others = known[n][sample_of[sample_ids != name]]
+                # The k-th largest; a little less, as these products may be rounded.
+                floor = np.partition(others, -k)[-k] - 1e-6 * (longest + 1) if len(others) >= k else -np.inf
+                vec, score, _ = answer(whole[low + n], name, bounds[n], x, ids, first, floor, k)
                 out.append((np.full(len(vec), name), vec, score))
         query, vec, score = (np.concatenate(c) for c in zip(*out, strict=True))
         return pd.DataFrame({"query_id": query, "vec_id": vec, "score": score})

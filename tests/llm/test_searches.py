@@ -237,12 +237,13 @@ def test_bounds_hold_and_stop_early_where_vectors_are_apart():
     x = (centres[draw.integers(0, 40, 4000)] + draw.integers(-3, 4, size=(4000, 4))).astype(np.float64)
     longest = float((x * x).sum(axis=1).max())
     pivots = pivot_search.chosen_pivots(pivot_search.lengthened(x[:500], longest), 32)
-    table = pivot_search.distances(pivot_search.lengthened(x, longest), pivots)
+    table = pivot_search.distances(pivot_search.lengthened(x, longest), pivots).T.astype(np.float32)
     # Queries as long as the longest candidate: the direction decides.
     q = x[::400] * np.sqrt(longest / (x[::400] ** 2).sum(axis=1))[:, None] // 1
-    to_query = pivot_search.distances(np.column_stack([q, np.zeros(len(q))]), pivots)
+    to_query = pivot_search.distances(np.column_stack([q, np.zeros(len(q))]), pivots).astype(np.float32)
     bounds = pivot_search.upper_bounds(to_query, table, (q * q).sum(axis=1), longest)
     assert (bounds >= q @ x.T).all()
+    assert [pivot_search.product_type(n) for n in (5.0, 2.0**24, 2.0**60)] == [np.float32, np.float64, np.int64]
     ids, first, looked = np.arange(4000), np.arange(4001), []
     for one, bound in zip(q, bounds, strict=True):
         vec, score, done = pivot_search.answer(one, -1, bound, x, ids, first, -np.inf, 20)
