@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gradeloom.checks.registry import ORACLE_VIEWS, query, rounded
@@ -9,6 +11,8 @@ from gradeloom.checks.views import VIEWS
 from gradeloom.functions import scalars as N
 from gradeloom.operators import keys as K
 from gradeloom.operators import planning, release
+from gradeloom.session import checkpoint_dir
+from gradeloom.sources import sinks
 
 VIEWS["f_student_work"] = """
 select distinct course_id, assignment_id, student_id from f_trials0
@@ -205,9 +209,12 @@ VIEWS["f_rel_normalized"] = """
 select 'S' || c_custkey as student_id, 'HW1' as assignment_id,
   case when c_custkey % 19 = 0 then 'other' else 'h' || c_custkey end as sha256, c_custkey
 from customer where c_custkey % 31 <> 0"""
-# Each customer's newest order is a judgment; some have further ones, which must be told apart.
+# Every order is a judgment. A customer's newest, and some older ones, which must be told
+# apart, are of the released assignment; the rest are of others.
 VIEWS["f_rel_judgments"] = """
-select 'S' || o_custkey as student_id, 'HW1' as assignment_id, 'J/' || o_orderkey as reference,
+select 'S' || o_custkey as student_id,
+  case when o_orderkey = newest or o_orderkey % 40 = 0 then 'HW1'
+    else 'HW' || (2 + o_orderkey % 5) end as assignment_id, 'J/' || o_orderkey as reference,
   case when o_orderkey % 7 = 0 then 'BUILDING' else c_mktsegment end as rubric_name,
   'sha-' || c_mktsegment as rubric_sha256,
   case when o_orderkey % 37 = 0 then 2 else 1 end as n_items,
@@ -216,7 +223,7 @@ select 'S' || o_custkey as student_id, 'HW1' as assignment_id, 'J/' || o_orderke
   cast(o_orderkey % 101 as double) as base_points, cast(100 as double) as base_max,
   cast(o_orderkey % 17 as double) as bonus_points, o_orderkey, o_custkey
 from (select *, max(o_orderkey) over (partition by o_custkey) as newest from orders) o
-  join customer on o_custkey = c_custkey where o_orderkey = newest or o_orderkey % 40 = 0"""
+  join customer on o_custkey = c_custkey"""
 VIEWS["f_rel_enrollments"] = """
 select 'CX' as course_id, '#USER' || c_custkey as lms_username, c_mktsegment as rubric,
   'registrar' as source
@@ -299,7 +306,7 @@ def _release(v, **options):
 
 ORACLE_VIEWS["o_fit"] = """
 select j.*, count(*) over (partition by j.student_id) as n_judgments
-from f_rel_judgments j join o_release_routes r using (student_id)
+from f_rel_judgments j join o_release_routes r using (student_id, assignment_id)
 where j.rubric_name = r.rubric0 and r.reason is null and r.rubric0 <> 'FURNITURE'
   and j.rubric_sha256 = 'sha-' || r.rubric0"""
 ORACLE_VIEWS["o_release"] = """
@@ -391,6 +398,88 @@ def release_manifest(v):
     )
 
 
+def _lineage(v, decisions):
+    """Decisions with lineage that the orders tell: three priors each, two or three hashes."""
+    order = F.col("o_orderkey").cast("string")
+    judgments = v.rel_judgments.select(
+        "reference",
+        F.concat(F.lit("i"), order).alias("item_identity"),
+        F.concat(F.lit("c"), F.col("o_orderkey") % 3).alias("config_identity"),
+        F.when(F.col("o_orderkey") % 4 != 0, F.concat(F.lit("x"), F.col("o_orderkey") % 5)).alias(
+            "context_config_identity"
+        ),
+        F.array(*[F.concat(F.lit(f"P{n}/"), order) for n in (1, 2, 3)]).alias("prior_trials"),
+    )
+    work = v.rel_normalized.select("student_id", "assignment_id", F.lit("work").alias("source"), "sha256")
+    rubric = v.rel_judgments.where("rubric_intact").select(
+        "student_id", "assignment_id", F.lit("rubric").alias("source"), F.col("rubric_sha256").alias("sha256")
+    )
+    selections = v.rel_submissions.where("c_custkey % 5 = 0").select(
+        "folder", F.lit("reviewed").alias("reason"),
+        F.array(F.concat("folder", F.lit(" old"))).alias("excluded"),
+    )
+    return release.with_lineage(decisions, judgments, work.unionByName(rubric), selections)
+
+
+@query(
+    "s16_release_lineage",
+    f"""select username, status, {_GRADE} as grade, case when status = 'graded' then reference end as trial,
+      case when status = 'graded' then 'i' || k end as item_identity,
+      case when status = 'graded' then 'c' || k % 3 end as config_identity,
+      case when status = 'graded' and k % 4 <> 0 then 'x' || k % 5 end as context_config_identity,
+      case when status = 'graded' then 'P1/' || k || ';P2/' || k || ';P3/' || k end as prior_trials,
+      case when status = 'graded' then sha256 end as work_sha256,
+      case when status = 'graded' then (select max(rubric_sha256) from f_rel_judgments j
+        where j.student_id = o.sid and j.assignment_id = o.assignment_id and rubric_intact) end as rubric_sha256,
+      case when status = 'graded' and cast(split_part(fold, '-', 1) as bigint) % 5 = 0 then fold end as selected_folder,
+      case when status = 'graded' and cast(split_part(fold, '-', 1) as bigint) % 5 = 0
+        then fold || ' old' end as excluded_uploads
+    from (select *, cast(substr(reference, 3) as bigint) as k from o_decisions) o""",
+)
+def release_lineage(v):
+    """The manifest's entries, read back from their JSON."""
+    told = _lineage(v, _release(v, zero_missing=True))
+    manifest = release.release_manifest(told, "CX", "scaled", gradings=3)
+    entry = F.from_json("entry", told.schema)
+    return manifest.select("username", entry.alias("e")).select(
+        "username", "e.status", "e.grade", "e.trial", "e.item_identity", "e.config_identity",
+        "e.context_config_identity", F.array_join("e.prior_trials", ";").alias("prior_trials"),
+        F.col("e.hashes")["work"].alias("work_sha256"), F.col("e.hashes")["rubric"].alias("rubric_sha256"),
+        F.col("e.upload_selection.folder").alias("selected_folder"),
+        F.array_join("e.upload_selection.excluded", ";").alias("excluded_uploads"),
+    )
+
+
+@query(
+    "s16_release_files",
+    f"""select output, count(*) as rows,
+      cast(sum(cast(('0x' || substr(sha256(line), 1, 15)) as hugeint)) as varchar) as rows_digest,
+      true as files_agree
+    from (
+      select 'grades' as output, '{{"Username":"' || username || '","HW1 Points Grade":"' || {_GRADE}
+        || '","End-of-Line Indicator":"#"}}' as line
+      from o_decisions where status <> 'unresolved'
+      union all
+      select 'unresolved', '{{"username":"' || username || '","reason":"' || reason || '"}}'
+      from o_decisions where status = 'unresolved') group by output""",
+)
+def release_files(v):
+    """Two outputs written as a release; what the manifest says of them."""
+    decisions = _lineage(v, _release(v, zero_missing=True)).persist()
+    target = f"{checkpoint_dir(v.spark)}/s16-{uuid.uuid4().hex}"
+    outputs = {
+        "grades": release.gradebook_rows(decisions, "HW1 Points Grade"),
+        "unresolved": decisions.where("status = 'unresolved'").select("username", "reason"),
+    }
+    sinks.write_release(release.release_manifest(decisions, "CX", "scaled"), outputs, target, "HW1")
+    decisions.unpersist()
+    changed = sinks.changed_files(v.spark, target, "HW1").select("output").distinct()
+    ddl = "output string, rows long, rows_digest string"
+    told = v.spark.read.schema(ddl).json(f"{target}/HW1/manifest/outputs").distinct()
+    marked = changed.withColumn("changed", F.lit(True))
+    return told.join(marked, "output", "left").select(*told.columns, F.col("changed").isNull().alias("files_agree"))
+
+
 @query(
     "g10_score_policies",
     """select reference, round((least(base_points + 5, 100) + bonus_points) / 100 * 20, 6) as scaled,

@@ -356,6 +356,38 @@ def gradebook_rows(decisions: DataFrame, grade_column: str) -> DataFrame:
     )
 
 
+LINEAGE = ["item_identity", "config_identity", "context_config_identity", "prior_trials"]
+
+
+def with_lineage(
+    decisions: DataFrame, judgments: DataFrame, hashes: DataFrame, selections: DataFrame
+) -> DataFrame:
+    """Decisions with where each grade comes from.
+
+    - ``judgments``: reference and the ``LINEAGE`` columns; ``prior_trials`` lists the
+      gradings that the judgment saw, which are as many as the release asks for;
+    - ``hashes``: student_id, assignment_id, source, sha256: what a grade was built from
+      (the work, the rubric, the record), one row each;
+    - ``selections``: folder, reason, excluded: the reviewed choice of an upload folder.
+
+    Only graded rows have lineage and hashes; ``upload_selection`` is NULL where nobody
+    chose.
+    """
+    lineage = judgments.select(F.col("reference").alias("trial"), *LINEAGE)
+    sources = hashes.groupBy("student_id", "assignment_id").agg(
+        F.map_from_entries(F.sort_array(F.collect_set(F.struct("source", "sha256")))).alias("hashes")
+    )
+    chosen = selections.select(
+        "folder", F.struct("folder", "reason", "excluded").alias("upload_selection")
+    )
+    return (
+        decisions.join(lineage, "trial", "left")
+        .join(sources, ["student_id", "assignment_id"], "left")
+        .join(chosen, "folder", "left")
+        .select(*decisions.columns, *LINEAGE, "hashes", "upload_selection")
+    )
+
+
 def release_manifest(decisions: DataFrame, course_id: str, policy: str, **parameters) -> DataFrame:
     """The release record in long form: one JSON document per recipient."""
     return decisions.select(

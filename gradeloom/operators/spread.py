@@ -133,21 +133,29 @@ def exact_quantiles(
 def with_median_ranks(counts: DataFrame, keys: Sequence[str], value: str, count: str = "n") -> DataFrame:
     """A (key, value, count) table with ``__middle``: the value where it is a median one.
 
-    The median of a key is ``median_of()`` over its rows. Running counts find it; no
-    cell holds a key's values.
+    The median of a key is ``median_of()`` over its rows. Values lie in ranges of (key,
+    value); totals of the ranges tell where each begins, and counts run on inside a range.
+    No task holds a key's values.
     """
+    keys = list(keys)
+    placed = _in_ranges(counts, keys, [value])
+    totals = placed.groupBy(*keys, "__bucket").agg(F.sum(count).alias("__sum"))
     whole = Window.partitionBy(*keys)
-    end = F.sum(count).over(whole.orderBy(value))
-    total = F.sum(count).over(whole)
-    low, high = F.floor((total - 1) / 2), F.floor(total / 2)
+    starts = totals.withColumn(
+        "__start", F.sum("__sum").over(whole.orderBy("__bucket")) - F.col("__sum")
+    ).withColumn("__all", F.sum("__sum").over(whole)).drop("__sum")
+    inside = Window.partitionBy(*keys, "__bucket").orderBy(value)
+    ranked = join_on_keys(placed, starts, [*keys, "__bucket"]).withColumn(
+        "__end", F.sum(count).over(inside) + F.col("__start")
+    )
 
     def holds(rank: Column) -> Column:
         return (rank >= F.col("__end") - F.col(count)) & (rank < F.col("__end"))
 
-    placed = counts.withColumn("__end", end).withColumn("__low", low).withColumn("__high", high)
-    return placed.withColumn(
-        "__middle", F.when(holds(F.col("__low")) | holds(F.col("__high")), F.col(value))
-    ).drop("__end", "__low", "__high")
+    low, high = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
+    return ranked.withColumn("__middle", F.when(holds(low) | holds(high), F.col(value))).drop(
+        "__bucket", "__start", "__all", "__end"
+    )
 
 
 def median_of() -> Column:
@@ -178,21 +186,17 @@ def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str | Column]
 
 
 def with_previous(
-    rows: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    bucket: Column,
-    take: Sequence[str],
-    name: str = "previous",
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], take: Sequence[str], name: str = "previous"
 ) -> DataFrame:
     """Each row with a struct of ``take`` from the row before it in ``order``.
 
-    ``bucket`` must not decrease along ``order``. Inside a bucket this is a plain
-    ``lag``; the first row of a bucket gets the last row of the key's previous
-    non-empty bucket, which comes from one summary row per bucket.
+    Rows lie in ranges of (key, order) whose bounds come from the rows themselves. Inside a
+    range this is a plain ``lag``; the first row of a range gets the last row of the key's
+    previous range, which comes from one summary row per range. A key may hold any share of
+    the rows, all within a moment.
     """
     keys = list(keys)
-    placed = rows.withColumn("__bucket", bucket).withColumn("__take", F.struct(*take))
+    placed = _in_ranges(rows, keys, order).withColumn("__take", F.struct(*take))
     lasts = placed.groupBy(*keys, "__bucket").agg(
         F.max_by("__take", F.struct(*order)).alias("__last")
     )
@@ -206,4 +210,3 @@ def with_previous(
         .withColumn(name, F.coalesce("__lag", "__carried"))
         .drop("__bucket", "__take", "__lag", "__carried")
     )
-

@@ -32,15 +32,11 @@ def surviving_files(uploads: DataFrame) -> DataFrame:
 def file_versions(uploads: DataFrame) -> DataFrame:
     """Every file version with the version it supersedes, if any.
 
-    Versions are chained inside calendar days and then across days, so that a
-    path uploaded any number of times is never ordered in one task.
+    Versions are chained inside ranges of the data and then across them, so that a path
+    uploaded any number of times, on one day or many, is never ordered in one task.
     """
     return with_previous(
-        uploads.select(*FILE, *_WHEN, "digest"),
-        FILE,
-        _WHEN,
-        F.to_date("submitted_at"),
-        ["digest", "submitted_at"],
+        uploads.select(*FILE, *_WHEN, "digest"), FILE, _WHEN, ["digest", "submitted_at"]
     )
 
 

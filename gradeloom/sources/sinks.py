@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.operators import keys as K
 from gradeloom.operators.review import priority_order
+from gradeloom.sources.staging import Files, commit, finish, new_stage
 
 REPORT_KEYS = {
     "trials": ["stage", *K.TRIAL],
@@ -59,6 +60,9 @@ def _folder(value: str) -> str:
     return "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in value)
 
 
+SCOPE = ["course_id", "assignment_id"]
+
+
 def write_scoped(
     table: DataFrame, target: str, assignments: Iterable[tuple[str, str]] | None = None
 ) -> None:
@@ -67,25 +71,41 @@ def write_scoped(
     The scope is ``assignments``; rows outside it are an error of the caller and left out.
     A named assignment that the table has no rows for ends up empty. Without a scope it is
     whatever the table has rows for.
+
+    The new partitions are staged beside the old ones, by one job for any number of names,
+    and then put in their place by one commit. So ``table`` may read from ``target``, and a
+    write that fails leaves the target as it was. ``read_scoped`` completes a write that was
+    interrupted after its commit, and so does the next write.
     """
+    spark = table.sparkSession
+    finish(spark, target, writing=True)
+    files, stage = Files(spark, target), new_stage()
     rows = table
     if assignments is not None:
-        scope = table.sparkSession.createDataFrame(
-            list(assignments), "course_id string, assignment_id string"
-        )
-        rows = table.join(scope, ["course_id", "assignment_id"], "left_semi")
-        body = table.drop("course_id", "assignment_id").limit(0)
-        # The caller's list, not data: one empty partition for each named assignment first.
-        for course, assignment in set(assignments):
-            body.write.mode("overwrite").parquet(
-                f"{target}/course_id={_folder(course)}/assignment_id={_folder(assignment)}"
-            )
-    (
-        rows.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("course_id", "assignment_id")
-        .parquet(target)
-    )
+        assignments = set(assignments)
+        scope = spark.createDataFrame(list(assignments), "course_id string, assignment_id string")
+        rows = table.join(scope, SCOPE, "left_semi")
+    rows.write.partitionBy(*SCOPE).parquet(f"{target}/{stage}")
+    folders = [
+        f"{course}/{assignment}"
+        for course in files.names(stage) if course.startswith("course_id=")
+        for assignment in files.names(f"{stage}/{course}")
+    ]
+    if assignments is not None:
+        named = {f"course_id={_folder(c)}/assignment_id={_folder(a)}" for c, a in assignments}
+        if emptied := sorted(named.difference(folders)):
+            # One file without rows, copied to every folder that ends up empty.
+            table.drop(*SCOPE).limit(0).write.parquet(f"{target}/{stage}/_empty")
+            for folder in emptied:
+                files.copy(f"{stage}/_empty", f"{stage}/{folder}")
+            folders += emptied
+    commit(files, stage, folders)
+
+
+def read_scoped(spark: SparkSession, target: str, ddl: str | None = None) -> DataFrame:
+    """What ``write_scoped`` keeps in ``target``."""
+    finish(spark, target)
+    return (spark.read.schema(ddl) if ddl else spark.read).parquet(target)
 
 
 def write_record(row: DataFrame, target: str) -> None:
@@ -96,3 +116,74 @@ def write_record(row: DataFrame, target: str) -> None:
 def write_gradebook(rows: DataFrame, target: str) -> None:
     """The upload file, in roster order of the username."""
     rows.orderBy("Username").write.mode("overwrite").option("header", "true").csv(target)
+
+
+def file_digests(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``path, length, sha256`` of every file of the given files and folders."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
+    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def row_digests(table: DataFrame) -> DataFrame:
+    """``rows, rows_digest``: a digest of a table's rows as JSON, in any order and layout.
+
+    The first 15 hexadecimal digits of each row's SHA-256, summed: equal tables have equal
+    digests however they were partitioned.
+    """
+    row = F.to_json(F.struct(*table.columns), {"ignoreNullFields": "false"})
+    number = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return table.agg(
+        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("rows_digest")
+    )
+
+
+def write_release(
+    manifest: DataFrame, outputs: dict[str, DataFrame], target: str, name: str, inputs: Sequence[str] = ()
+) -> None:
+    """A release folder ``target/name`` that appears whole, its manifest written last.
+
+    Every output is staged as CSV, read back and hashed file by file. The manifest has three
+    parts, all as JSON lines: ``entries`` (the rows of ``manifest``), ``inputs`` (each file of
+    the given paths with its digest) and ``outputs`` (each written file with its digest, and
+    its table's row count and row digest). One rename then puts the folder in place; a write
+    that fails before leaves nothing but staged files, which the next write drops.
+
+    A name that is taken is an error: releases are never replaced. Hashing reads a file
+    into one task, so files are bounded by what Spark writes to one (outputs) or by the
+    caller (inputs).
+    """
+    spark = manifest.sparkSession
+    finish(spark, target, writing=True)
+    files, stage = Files(spark, target), new_stage()
+    if files.exists(name):
+        raise FileExistsError(f"{target}/{name}")
+    folder = f"{target}/{stage}"
+    described = None
+    for output, table in outputs.items():
+        table.write.option("header", "true").option("emptyValue", "").csv(f"{folder}/{output}")
+        written = spark.read.option("header", "true").schema(table.schema).csv(f"{folder}/{output}")
+        parts = file_digests(spark, [f"{folder}/{output}"]).select(
+            F.lit(output).alias("output"), F.element_at(F.split("path", "/"), -1).alias("file"), "length", "sha256"
+        )
+        part = parts.crossJoin(row_digests(written))
+        described = part if described is None else described.unionByName(part)
+    if described is not None:
+        described.coalesce(1).write.json(f"{folder}/manifest/outputs")
+    if inputs:
+        file_digests(spark, inputs).write.json(f"{folder}/manifest/inputs")
+    manifest.write.json(f"{folder}/manifest/entries")
+    files.rename(stage, name)
+
+
+def changed_files(spark: SparkSession, target: str, name: str) -> DataFrame:
+    """Files of a release that are missing, new or other than its manifest says."""
+    ddl = "output string, file string, length long, sha256 string, rows long, rows_digest string"
+    told = spark.read.schema(ddl).json(f"{target}/{name}/manifest/outputs").select("output", "file", "sha256")
+    outputs = [n for n in Files(spark, target).names(name) if n != "manifest"]
+    found = file_digests(spark, [f"{target}/{name}/{n}" for n in outputs]).select(
+        F.element_at(F.split("path", "/"), -2).alias("output"),
+        F.element_at(F.split("path", "/"), -1).alias("file"),
+        F.col("sha256").alias("found_sha256"),
+    )
+    both = told.join(found, ["output", "file"], "full_outer")
+    return both.where(~F.col("sha256").eqNullSafe(F.col("found_sha256")))

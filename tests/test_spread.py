@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import datetime
 import hashlib
 import random
+import statistics
 
 import numpy as np
 import pytest
@@ -11,8 +13,10 @@ from gradeloom.operators import digests
 from gradeloom.operators.spread import (
     exact_quantiles,
     join_on_keys,
+    median_of,
     numbered,
     value_counts,
+    with_median_ranks,
     with_previous,
 )
 
@@ -58,13 +62,45 @@ def test_numbers_follow_any_order_of_random_rows(spark):
     assert max(r["count"] for r in spread_out) < 0.5 * len(rows)
 
 
-def test_previous_row_crosses_buckets(spark):
-    rows = [("a", x) for x in (1, 2, 15, 99, 100)] + [("b", 50)]
+def _largest_range(spark, df, keys, order):
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(tasks, *keys, *order).groupBy(F.spark_partition_id()).count()
+    return max(r["count"] for r in dealt.collect()) / df.count()
+
+
+def test_previous_row_crosses_ranges(spark):
+    rows = [("a", x) for x in (1, 2, 15, 99, 100)] + [("b", 50), (None, 3), (None, 4)]
     df = spark.createDataFrame(rows, "k string, x int")
-    out = with_previous(df, ["k"], ["x"], F.floor(F.col("x") / 10), ["x"]).collect()
+    out = with_previous(df, ["k"], ["x"], ["x"]).collect()
     got = {(r.k, r.x): r.previous and r.previous.x for r in out}
     assert got == {("a", 1): None, ("a", 2): 1, ("a", 15): 2, ("a", 99): 15, ("a", 100): 99,
-                   ("b", 50): None}
+                   ("b", 50): None, (None, 3): None, (None, 4): 3}
+
+
+def test_a_third_of_all_versions_on_one_path_and_day(spark):
+    """One path is uploaded again and again within a day; no range holds all of it."""
+    start = datetime.datetime(2024, 5, 1)
+    hot = [("hot", start + datetime.timedelta(seconds=i), f"d{i % 7}") for i in range(3000)]
+    rest = [(f"p{i % 500}", start + datetime.timedelta(hours=i), "d") for i in range(6000)]
+    df = spark.createDataFrame(hot + rest, "k string, at timestamp_ntz, digest string").repartition(7)
+    out = with_previous(df, ["k"], ["at"], ["digest", "at"]).where("k = 'hot'").orderBy("at").collect()
+    assert [r.previous and (r.previous.digest, r.previous.at) for r in out] == [
+        None, *[(d, at) for _, at, d in hot[:-1]]
+    ]
+    # Versions of one moment in the key and a third of all rows still fill several ranges.
+    assert _largest_range(spark, df, ["k"], ["at"]) < 0.5
+
+
+def test_median_of_an_item_with_a_third_of_all_rows(spark):
+    draw = random.Random(4)
+    values = {"hot": [draw.random() for _ in range(3001)], None: [5.0], "two": [1.0, 2.0]}
+    values |= {f"k{i}": [float(draw.randint(0, 3)) for _ in range(draw.randint(1, 40))] for i in range(300)}
+    rows = [(k, x) for k, own in values.items() for x in own]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(5)
+    counts = value_counts(df, ["k"], "x")
+    found = with_median_ranks(counts, ["k"], "x").groupBy("k").agg(median_of().alias("m"))
+    assert {r.k: r.m for r in found.collect()} == {k: statistics.median(own) for k, own in values.items()}
+    assert _largest_range(spark, counts, ["k"], ["x"]) < 0.5
 
 
 def test_null_keys_join(spark):
