@@ -17,14 +17,26 @@ def is_blank(value: Column) -> Column:
     return strip(value) == ""
 
 
+def case_folded(value: Column) -> Column:
+    """Texts that differ only in case become equal, by Unicode's full folding.
+
+    Upper case writes out what has no single capital (``ß``, ligatures), and lower case
+    then joins all forms of a letter. The dotless i, whose capital is that of the dotted
+    one, is put aside meanwhile; the final sigma, which lower case picks by its place,
+    becomes the plain one.
+    """
+    aside = F.translate(F.lower(value), "ı", "\ue000")
+    return F.translate(F.lower(F.translate(F.upper(aside), "\ue000", "ı")), "ς", "σ")
+
+
 def username_key(value: Column) -> Column:
-    """Gradebook username without the export's leading ``#``, in lower case."""
-    return F.lower(F.regexp_replace(strip(value), "^#+", ""))
+    """Gradebook username without the export's leading ``#``, case-folded."""
+    return case_folded(F.regexp_replace(strip(value), "^#+", ""))
 
 
 def name_key(value: Column) -> Column:
-    """Person name with single spaces, in lower case."""
-    return F.lower(strip(F.regexp_replace(value, r"(?U)\s+", " ")))
+    """Person name with single spaces, case-folded."""
+    return case_folded(strip(F.regexp_replace(value, r"(?U)\s+", " ")))
 
 
 def upload_folder(folder: Column) -> Column:

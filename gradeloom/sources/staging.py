@@ -41,6 +41,9 @@ class Files:
             return []
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.at(name)))
 
+    def size(self, name: str) -> int:
+        return self.fs.getContentSummary(self.at(name)).getLength()
+
     def delete(self, name: str) -> None:
         self.fs.delete(self.at(name), True)
 
@@ -76,14 +79,17 @@ def new_stage() -> str:
     return f"{STAGED}/{uuid.uuid4().hex}"
 
 
-def commit(files: Files, stage: str, folders: list[str]) -> None:
-    """Make the staged ``folders`` replace those of the same names in the target."""
-    files.write_text(stage + _COMMIT, json.dumps(folders))
+def commit(files: Files, stage: str, folders: list[str], dropped: list[str] | None = None) -> None:
+    """Make the staged ``folders`` replace those of the same names, and drop ``dropped``."""
+    files.write_text(stage + _COMMIT, json.dumps({"folders": folders, "dropped": dropped or []}))
     _move(files, stage)
 
 
 def _move(files: Files, stage: str) -> None:
-    for folder in json.loads(files.read_text(stage + _COMMIT)):
+    told = json.loads(files.read_text(stage + _COMMIT))
+    for folder in told["dropped"]:
+        files.delete(folder)
+    for folder in told["folders"]:
         # A folder that is staged no more was moved before an interruption.
         if files.exists(f"{stage}/{folder}"):
             files.delete(folder)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,10 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 from gradeloom.functions.predicates import is_stage
 from gradeloom.operators import keys as K
 from gradeloom.operators.planning import is_done
+from gradeloom.sources.staging import Files, commit, finish, new_stage
 
 _KEPT = [*K.TRIAL, *K.ITEM]
 #: Buckets of the table that ``fold_trials`` keeps.
 BUCKETS = 256
+#: Batch folders of like size that are merged into one.
+MERGED = 8
 
 
 def _bucket() -> Column:
@@ -34,27 +39,67 @@ def running_totals(stream: DataFrame, stage: str) -> DataFrame:
     return once.groupBy(*K.ITEM).agg(F.count(F.lit(1)).alias("existing"))
 
 
+def folders_to_merge(sizes: Sequence[tuple[int, int]]) -> list[int]:
+    """Which of the batch folders ``(batch, bytes)`` to merge: none, or ``MERGED`` and more.
+
+    From the newest back, as long as a folder is at most twice as large as all newer ones
+    together. So a folder is merged only with about its own size, each row is written again
+    a number of times that is logarithmic in the table, and so is the number of folders.
+    """
+    taken, total = [], 0
+    for batch, size in sorted(sizes, reverse=True):
+        if taken and size > 2 * max(total, 1):
+            break
+        taken.append(batch)
+        total += size
+    return taken if len(taken) >= MERGED else []
+
+
+def merge_batches(spark: SparkSession, target: str, before: int) -> None:
+    """Merge folders of batches before ``before``, where there are many of like size.
+
+    Those batches are complete and never retried. One commit puts the merged folder in the
+    place of the others; readers complete one that was interrupted.
+    """
+    finish(spark, target, writing=True)
+    files = Files(spark, target)
+    named = [n for n in files.names() if n.startswith("batch=")]
+    batches = [int(n.removeprefix("batch=")) for n in named]
+    chosen = folders_to_merge([(b, files.size(f"batch={b}")) for b in batches if b < before])
+    if not chosen:
+        return
+    stage, newest = new_stage(), f"batch={max(chosen)}"
+    rows = stored_trials(spark, target).where(F.col("batch").isin(chosen)).drop("batch")
+    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{target}/{stage}/{newest}")
+    commit(files, stage, [newest], [f"batch={b}" for b in chosen if b != max(chosen)])
+
+
 def fold_trials(stream: DataFrame, stage: str, target: str, checkpoint: str) -> StreamingQuery:
     """Append each micro-batch's new valid trials to a table; no state is kept.
 
     A batch is written to its own folder, replaced as a whole when the batch is
     retried, and reads only earlier batches, so a lost driver or executor changes
     nothing. Trials lie in buckets by their job. A batch reads only the buckets of its
-    own jobs, so its cost follows those jobs and not the whole history. Nothing expires:
-    a trial seen once is never counted again. Totals are a plain count over the table.
+    own jobs, so its cost follows those jobs and not the whole history. Folders of earlier
+    batches are merged on the way (``merge_batches``), so files follow the number of trials
+    and not that of batches. Nothing expires: a trial seen once is never counted again.
+    Totals are a plain count over the table.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = valid_trials(batch, stage).dropDuplicates(K.TRIAL).withColumn("bucket", _bucket())
         if batch_id > 0:
+            merge_batches(spark, target, batch_id)
             # At most ``BUCKETS`` numbers; they prune the folders that are read.
             touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
             seen = stored_trials(spark, target).where(
                 (F.col("batch") < batch_id) & F.col("bucket").isin(touched)
             )
             fresh = fresh.join(seen.select(*K.TRIAL), K.TRIAL, "left_anti")
-        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/batch={batch_id}")
+        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{target}/batch={batch_id}"
+        )
 
     return (
         stream.writeStream.foreachBatch(fold)
@@ -65,6 +110,7 @@ def fold_trials(stream: DataFrame, stage: str, target: str, checkpoint: str) ->
 
 
 def stored_trials(spark: SparkSession, target: str) -> DataFrame:
+    finish(spark, target)
     ddl = ", ".join(f"{c} string" for c in _KEPT) + ", batch int, bucket int"
     return spark.read.schema(ddl).parquet(target)
 

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +126,26 @@ def test_archive_names(spark):
         "Problem Set 2.zip": (None, "ambiguous"), "x.zip": (None, "unparsed_name"),
         "hw 9.zip": (None, "no_match"),
     }
+
+
+def test_keys_fold_case_as_unicode_does(spark):
+    """Every character: two share a key exactly when full case folding makes them equal.
+
+    Left out are those that Python's Unicode does not know, and the one put in for the
+    dotless i.
+    """
+    rows = [(c,) for c in map(chr, range(1, 0x110000)) if unicodedata.category(c) not in ("Cn", "Cs") and c != "\ue000"]
+    df = spark.createDataFrame(rows, "c string").select("c", N.case_folded(F.col("c")).alias("key"))
+    by_key, by_fold = {}, {}
+    for r in df.collect():
+        by_key.setdefault(r.key, set()).add(r.c)
+        by_fold.setdefault(r.c.casefold(), set()).add(r.c)
+    assert {frozenset(g) for g in by_key.values()} == {frozenset(g) for g in by_fold.values()}
+
+
+def test_names_link_beyond_lower_case(spark):
+    pairs = [("Straße", "STRASSE"), ("ΟΔΟΣ", "οδος"), ("Ǆ", "ǆ"), ("oﬃce", "OFFICE"), ("İ", "i̇"), ("Groẞ", "gross")]
+    df = spark.createDataFrame([*pairs, ("ı", "i")], "a string, b string")
+    rows = df.select("a", (N.name_key(F.col("a")) == N.name_key(F.col("b"))).alias("same"),
+                     (N.username_key(F.concat(F.lit("#"), "a")) == N.username_key(F.col("b"))).alias("user")).collect()
+    assert [(r.same, r.user) for r in rows] == [(True, True)] * len(pairs) + [(False, False)]

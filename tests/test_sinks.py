@@ -5,7 +5,9 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from gradeloom.operators import planning
 from gradeloom.sources import sinks, staging
+from gradeloom.streaming import doneness
 
 DDL = "course_id string, assignment_id string, status string"
 
@@ -146,3 +148,75 @@ def test_row_digest_does_not_depend_on_the_layout(spark):
     assert len(digests) == 1
     assert tuple(sinks.row_digests(table.where("id != 5")).first()) not in digests
     assert tuple(sinks.row_digests(table.limit(0)).first()) == (0, "0")
+
+
+# --- folders of a stream -----------------------------------------------------------------
+
+
+def test_folders_stay_few_and_are_rarely_written_again():
+    sizes, written = [], 0
+    for batch in range(3000):
+        if chosen := doneness.folders_to_merge(sizes):
+            merged = sum(s for b, s in sizes if b in chosen)
+            sizes = [(b, s) for b, s in sizes if b not in chosen] + [(max(chosen), merged)]
+            written += merged
+        sizes.append((batch, 10))
+        assert len(sizes) <= 40
+    assert sum(s for _, s in sizes) == 30_000 and written < 8 * 30_000
+    assert doneness.folders_to_merge([(0, 10**6), *[(b, 1) for b in range(1, 6)]]) == []
+
+
+@pytest.fixture
+def folded(spark, make_trials, tmp_path):
+    source, table, progress = (str(tmp_path / n) for n in ("trials", "table", "progress"))
+
+    def fold(*names):
+        rows = [{"trial_name": n, "item_id": f"X{n[-1]}"} for n in names]
+        make_trials(*rows).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(make_trials().schema).parquet(source)
+        doneness.fold_trials(stream, "grade", table, progress).awaitTermination()
+
+    fold.table, fold.progress = table, tmp_path / "progress"
+    fold.want = lambda *names: sorted(
+        map(tuple, planning.done_totals(make_trials(*[{"trial_name": n, "item_id": f"X{n[-1]}"} for n in names]), "grade").collect())
+    )
+    fold.got = lambda: sorted(map(tuple, doneness.stored_totals(spark, table).collect()))
+    return fold
+
+
+def test_many_batches_leave_few_folders(spark, folded):
+    names = [f"t{i}" for i in range(11)]
+    for k, name in enumerate(names):
+        folded(name, names[max(0, k - 3)])
+    folders = [n for n in staging.Files(spark, folded.table).names() if n.startswith("batch=")]
+    assert len(folders) < doneness.MERGED and folded.got() == folded.want(*names)
+
+
+@pytest.mark.parametrize("at", ["before the commit", "between the folders", "after the batch"])
+def test_a_driver_lost_while_merging_changes_nothing(spark, folded, monkeypatch, at):
+    names = [f"t{i}" for i in range(doneness.MERGED + 1)]
+    for name in names[:-1]:
+        folded(name)
+    real, calls = staging.Files.rename, []
+
+    def failing(self, old, new):
+        calls.append(old)
+        if len(calls) > (0 if at == "before the commit" else 1):
+            raise OSError("driver lost")
+        real(self, old, new)
+
+    if at == "after the batch":
+        folded(names[-1], names[0])
+        # The batch is done, and the stream has not written that down.
+        last = max((folded.progress / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+        last.unlink()
+        (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+        folded(names[1])
+    else:
+        monkeypatch.setattr(staging.Files, "rename", failing)
+        with pytest.raises(Exception, match="lost"):
+            folded(names[-1], names[0])
+        monkeypatch.undo()
+        assert folded.got() == folded.want(*names[:-1])
+        folded(names[1])
+    assert folded.got() == folded.want(*names)
