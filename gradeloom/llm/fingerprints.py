@@ -73,15 +73,25 @@ def phrase_hashes(text: str, ends: list[int]) -> np.ndarray:
     return _mixed((sums[stop] - sums[start]) * _powers(BASE_INVERSE, len(codes))[start])
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """16 bits of the smallest hash under each of the hash functions."""
-    if not len(hashes):
-        return np.full(SLOTS, 0xFFFF, dtype=np.uint16)
-    lowest = np.full(SLOTS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def lowest(hashes: np.ndarray) -> np.ndarray:
+    """The smallest hash under each of the hash functions; the largest number, if none."""
+    low = np.full(SLOTS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), 2048):
         block = hashes[at : at + 2048, None] * FACTORS + SHIFTS
-        np.minimum(lowest, block.min(axis=0), out=lowest)
-    return (_mixed(lowest) >> np.uint64(48)).astype(np.uint16)
+        np.minimum(low, block.min(axis=0), out=low)
+    return low
+
+
+def slots(low: np.ndarray, any_phrase: bool) -> np.ndarray:
+    """16 bits of each of the smallest hashes."""
+    if not any_phrase:
+        return np.full(SLOTS, 0xFFFF, dtype=np.uint16)
+    return (_mixed(low) >> np.uint64(48)).astype(np.uint16)
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """16 bits of the smallest hash under each of the hash functions."""
+    return slots(lowest(hashes), len(hashes) > 0)
 
 
 def as_text(values: np.ndarray) -> str:
@@ -138,22 +148,31 @@ def _edited(dealt: DataFrame) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        held = None  # the row before: its range, id, text, phrase ends and signature
+        # The row before: its range, id, text, phrase ends up to the edit, the smallest hashes
+        # of these phrases, and its signature.
+        held = None
 
         def row(block, doc_id, text):
             ends = phrase_ends(text)
-            return block, doc_id, text, ends, signature(phrase_hashes(text, ends))
+            hashes = phrase_hashes(text, ends)
+            known = int(np.searchsorted(ends, len(text) - len(text) // 3, side="right"))
+            low = lowest(hashes[:known])
+            own = slots(np.minimum(low, lowest(hashes[known:])), len(ends) > 0)
+            return block, doc_id, text, ends[:known], low, own
 
         def result(of, after):
-            _, doc_id, text, ends, own = of
+            _, doc_id, text, known, low, own = of
             cut = len(text) - len(text) // 3
             edited = text[:cut] + after[2][: len(text) - cut]
-            known = ends[: int(np.searchsorted(ends, cut, side="right"))]
-            new = signature(phrase_hashes(edited, phrase_ends(edited, known)))
+            ends = phrase_ends(edited, known)
+            # Hashes do not depend on the place, so only what follows the kept phrases is hashed.
+            start = known[-1] if known else 0
+            new = lowest(phrase_hashes(edited[start:], [e - start for e in ends[len(known) :]]))
+            new = slots(np.minimum(low, new), len(ends) > 0)
             digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
             return (
                 doc_id, len(text), digest, as_text(own), as_text(new),
-                likeness(own, new), likeness(own, after[4]),
+                likeness(own, new), likeness(own, after[5]),
             )
 
         for batch in batches:
