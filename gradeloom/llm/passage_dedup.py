@@ -1,15 +1,15 @@
-"""Removal of repeated passages by hashing lines, their sentences and word windows.
-
-A text is cut at line breaks and behind sentence ends. Each unit is normalised (lower
-case, single spaces) and hashed; digests are grouped over all documents, and the earliest
-occurrence, ranked by ``doc_id`` and place, is kept. Later occurrences go, where a run of
-neighbouring repeats has at least ``MIN_WORDS`` words or covers whole lines: chance
-repeats of short sentences stay.
-
-A passage that starts and ends inside sentences is found by windows of ``MIN_WORDS`` words,
-whatever units they lie in. Of each ``SPREAD`` neighbouring windows the one of smallest hash
-is kept (winnowing), so texts that share ``MIN_WORDS + SPREAD - 1`` words in a row share a
-window. The cleaned text comes with the original offsets of all that was taken out.
+"""Removal of repeated passages by hashing lines and parts of them.
+
+A text has two kinds of units: its lines, and its pieces. A piece ends after each word whose
+hash says so, about every ``PIECE_WORDS`` words, so equal passages have equal pieces inside,
+whatever sentences they start and end in; two neighbouring pieces are hashed together, as
+short pieces repeat by chance. Words are normalised (lower case, single spaces). Digests are
+grouped over all documents, and the earliest occurrence, ranked by ``doc_id`` and place, is
+kept. What later occurrences cover goes, where it has at least ``MIN_WORDS`` words in a row.
+
+A line of fewer words goes only as boilerplate: if it has ``LINE_WORDS`` words and
+``LINE_DOCS`` documents hold it. The cleaned text comes with the original offsets of all
+that was taken out.
 """
 
 from __future__ import annotations
@@ -25,104 +25,136 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm.shared import stored
 
-MIN_WORDS = 12
-SPREAD = 16
-_CUT = re.compile(r"(?<=[.!?])[^\S\n]+|\n+")
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
+MIN_WORDS, PIECE_WORDS = 12, 6
+LINE_WORDS, LINE_DOCS = 3, 10
+#: Words whose hash a task remembers.
+KNOWN = 300_000
+_WORD = re.compile(r"\S+")
+#: The halves of a digest are two polynomials over the hashes of the words.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def bounds(text: str) -> list[int]:
-    """Where units start, and the end of the text; units follow each other without gaps."""
-    cuts = [0, *(m.end() for m in _CUT.finditer(text))]
-    return cuts if cuts[-1] == len(text) else [*cuts, len(text)]
-
-
-def normalised(unit: str) -> str:
-    return " ".join(unit.lower().split())
-
-
-class _WordHashes(dict):
+class WordHashes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > KNOWN:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return found
 
 
-def windows(text: str, known: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers at which the kept windows of a text start, and their digests."""
-    known = _WordHashes() if known is None else known
-    words = text.lower().split()
-    n = len(words) - MIN_WORDS + 1
-    if n < 1:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    hashes = np.array([known[w] for w in words], dtype=np.uint64)
-    digests = np.zeros(n, dtype=np.uint64)
-    for i in range(MIN_WORDS):
-        digests = (digests ^ (digests >> np.uint64(29))) * _MIX[0] + hashes[i : i + n]
-    digests = (digests ^ (digests >> np.uint64(30))) * _MIX[1]
-    digests ^= digests >> np.uint64(31)
-    wide = min(SPREAD, n)
-    low = np.lib.stride_tricks.sliding_window_view(digests, wide).argmin(axis=1)
-    at = np.unique(low + np.arange(n - wide + 1))
-    return at, digests[at].view(np.int64)
-
-
-def window_runs(text: str, repeats: dict[int, int | None]) -> list[tuple[int, int]]:
-    """``(start, end)`` of stretches that repeated windows cover, in code points.
-
-    ``repeats`` maps the word at which a window starts to the one at which its earliest
-    occurrence starts, if that is in the same text: what it covers itself is kept.
+def _powers(base: int, n: int, kept: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
+    have = kept.get(base)
+    if have is None or len(have) < n:
+        steps = np.full(max(n, 4096), base, dtype=np.uint64)
+        have = kept[base] = np.multiply.accumulate(steps)
+    return have[:n]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def run_digests(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int) -> np.ndarray:
+    """128 bits, as two numbers, for each run of words ``start`` to ``end`` (not empty).
+
+    Differences of running polynomial sums; a run's place is multiplied away by the inverse
+    power, so equal runs are equal wherever they lie. ``kind`` and length are mixed in.
     """
-    starts, spans = [m.start() for m in re.finditer(r"\S+", text)], []
-    starts.append(len(text))
-    for at in sorted(repeats):
-        own = repeats[at]
-        a, b = at if own is None else max(at, own + MIN_WORDS), at + MIN_WORDS
-        if a >= b:
-            continue
-        if spans and a <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
-        else:
-            spans.append((a, b))
-    return [(starts[a], starts[b]) for a, b in spans]
+    out, n = np.empty((2, len(start)), dtype=np.int64), len(hashes)
+    for half, base in enumerate(_BASES):
+        powers = _powers(base, n + 1)
+        inverse = _powers(pow(base, -1, 2**64), n + 1)
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_mixed(hashes + np.uint64(half)) * powers[:n], out=sums[1:])
+        found = (sums[end] - sums[start]) * inverse[start] * np.uint64(base)
+        out[half] = _mixed(found + (end - start).astype(np.uint64) * np.uint64(2) + np.uint64(kind)).view(np.int64)
+    return out
+
+
+class Units:
+    """The lines and pieces of a text, as numbers of words."""
+
+    def __init__(self, text: str, known: dict[str, int]) -> None:
+        words = text.lower().split()
+        self.hashes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+        ends = np.flatnonzero(self.hashes % np.uint64(PIECE_WORDS) == 0) + 1
+        #: Pieces go from one of these to the next.
+        self.cuts = np.unique(np.concatenate([[0], ends, [len(words)]])) if words else np.zeros(1, dtype=np.int64)
+        counts = [len(line.split()) for line in text.split("\n")]
+        self.line_ends = np.cumsum(counts)
+        self.line_starts = self.line_ends - counts
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place, first and last word (exclusive) of each unit that is hashed.
+
+        Places of lines are even, twice the line's number; those of two neighbouring pieces
+        odd, twice the number of the first and one.
+        """
+        lines = np.flatnonzero(self.line_ends > self.line_starts)
+        pairs = np.arange(max(len(self.cuts) - 2, 0))
+        place = np.concatenate([2 * lines, 2 * pairs + 1])
+        start = np.concatenate([self.line_starts[lines], self.cuts[pairs]])
+        end = np.concatenate([self.line_ends[lines], self.cuts[pairs + 2]])
+        return place, start, end
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places, digests (two rows), and which lines have fewer than ``MIN_WORDS`` words."""
+        place, start, end = self.runs()
+        made = np.empty((2, len(place)), dtype=np.int64)
+        pieces = place % 2 == 1
+        for kind, chosen in enumerate((~pieces, pieces)):
+            made[:, chosen] = run_digests(self.hashes, start[chosen], end[chosen], kind)
+        return place, made, ~pieces & (end - start < MIN_WORDS)
+
+    def covered(self, places: list[tuple[int, int | None]]) -> tuple[np.ndarray, np.ndarray]:
+        """Words that repeats cover, and lines that go whole however short.
+
+        A repeat is its place and, if its earliest occurrence is in the same text, the
+        place of that one, which stays.
+        """
+        words, lines = np.zeros(len(self.hashes), dtype=bool), np.zeros(len(self.line_ends), dtype=bool)
+        for place, own in places:
+            n = place >> 1
+            if place % 2 == 0:
+                words[self.line_starts[n] : self.line_ends[n]] = True
+                lines[n] = self.line_ends[n] - self.line_starts[n] < MIN_WORDS
+            else:
+                first = n if own is None else max(n, (own >> 1) + 2)
+                if first < n + 2:
+                    words[self.cuts[first] : self.cuts[n + 2]] = True
+        return words, lines
 
 
 def removed_spans(
-    text: str, repeats: set[int], min_words: int = MIN_WORDS, runs: list[tuple[int, int]] = ()
+    text: str, words: np.ndarray, lines: np.ndarray, min_words: int = MIN_WORDS
 ) -> list[tuple[int, int]]:
-    """``(start, length)`` of repeats with enough words, or that are whole lines.
+    """``(start, length)`` of what goes, in code points and in order.
 
-    ``repeats`` are numbers of units that occur earlier elsewhere. Units without words
-    neither end a run nor begin one. ``runs`` are stretches that repeat whatever the units.
+    ``words`` and ``lines`` tell for each of the text whether it repeats; a run of repeated
+    words goes if it has ``min_words`` or is made of ``lines`` alone. A span reaches to the
+    next word that stays, and over the line break behind it where it begins a line.
     """
-    cuts, found = bounds(text), list(runs)
-    begin, end = None, 0
-    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        if i in repeats:
-            begin, end = a if begin is None else begin, b
-        elif begin is not None and text[a:b].strip():
-            found.append((begin, end))
-            begin = None
-    if begin is not None:
-        found.append((begin, end))
-    joined: list[tuple[int, int]] = []
-    for a, b in sorted(found):
-        if joined and a <= joined[-1][1]:
-            joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
-        else:
-            joined.append((a, b))
+    at = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    counts = [len(line.split()) for line in text.split("\n")]
+    line_of = np.repeat(np.arange(len(counts)), counts)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], words.astype(np.int8), [0]])))
     spans = []
-    for a, b in joined:
-        # A short stretch goes as far as it is whole lines.
-        if len(text[a:b].split()) < min_words:
-            if a and text[a - 1] != "\n":
-                a = text.find("\n", a, b) + 1 or b
-            if b < len(text) and text[b - 1] != "\n":
-                b = text.rfind("\n", a, b) + 1 or a
-        if text[a:b].strip():
-            spans.append((a, b - a))
-    return spans
+    for a, b in edges.reshape(-1, 2).tolist():
+        if b - a < min_words:
+            # A short run: only its whole lines.
+            whole = [n for n in range(line_of[a], line_of[b - 1] + 1) if lines[n]]
+            runs = [(int(np.searchsorted(line_of, n)), int(np.searchsorted(line_of, n, side="right"))) for n in whole]
+        else:
+            runs = [(a, b)]
+        for c, d in runs:
+            start, end = at[c] if c else 0, at[d]
+            if spans and spans[-1][1] == start:
+                spans[-1] = (spans[-1][0], end)
+            else:
+                spans.append((start, end))
+    return [(a, b - a) for a, b in spans]
 
 
 def _row_key(text: str) -> int:
@@ -130,46 +162,52 @@ def _row_key(text: str) -> int:
     return xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass")) - 2**31
 
 
+_UNITS = "high long, low long, doc_id long, row_key int, place int, lead int, short boolean"
+
+
 def units(docs: DataFrame) -> DataFrame:
-    """``digest, doc_id, row_key, place`` for every unit that has words, and every window.
+    """A row for every line that has words and every two neighbouring pieces.
 
-    Places of units are even (twice the unit's number), those of windows odd (twice the
-    number of the first word, and one).
+    ``high, low`` are the digest; ``lead`` is 1 for the first of equal units of a text, so
+    that its sum counts documents; ``short`` marks lines of fewer than ``MIN_WORDS`` words.
+    Shorter ones than ``LINE_WORDS`` are left out.
     """
+    types = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(n, types[t]) for n, t in (c.split() for c in _UNITS.split(", "))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, known = xxhash.xxh64_intdigest, _WordHashes()
+        known = WordHashes()
         for batch in batches:
-            ids, keys, places, digests = [], [], [], []
+            parts: list[list[np.ndarray]] = []
+            held = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cuts, key = bounds(text), _row_key(text)
-                for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    plain = normalised(text[a:b])
-                    if plain:
-                        ids.append(doc_id)
-                        keys.append(key)
-                        places.append(2 * i)
-                        digests.append(digest(plain.encode("utf-8", "surrogatepass")) - 2**63)
-                at, hashes = windows(text, known)
-                ids += [doc_id] * len(at)
-                keys += [key] * len(at)
-                places += (2 * at + 1).tolist()
-                digests += hashes.tolist()
-                if len(ids) > 50_000:
-                    yield batch_of(ids, keys, places, digests)
-                    ids, keys, places, digests = [], [], [], []
-            if ids:
-                yield batch_of(ids, keys, places, digests)
-
-    def batch_of(ids, keys, places, digests) -> pa.RecordBatch:
-        columns = [
-            pa.array(digests, pa.int64()), pa.array(ids, pa.int64()),
-            pa.array(keys, pa.int32()), pa.array(places, pa.int32()),
-        ]
-        return pa.RecordBatch.from_arrays(columns, names=["digest", "doc_id", "row_key", "place"])
+                own = Units(text, known)
+                place, (high, low), short = own.digests()
+                _, start, end = own.runs()
+                use = ~short | (end - start >= LINE_WORDS)
+                place, high, low, short = place[use], high[use], low[use], short[use]
+                lead = np.zeros(len(place), dtype=np.int32)
+                lead[np.unique(high, return_index=True)[1]] = 1
+                missing = doc_id is None
+                ids = np.full(len(place), 0 if missing else doc_id)
+                parts.append([high, low, ids, np.full(len(place), _row_key(text)), place, lead, short, np.full(len(place), missing)])
+                held += len(place)
+                if held > 50_000:
+                    yield batch_of(parts)
+                    parts, held = [], 0
+            if held:
+                yield batch_of(parts)
+
+    def batch_of(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        missing = columns.pop()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c.astype(f.type.to_pandas_dtype()), mask=missing if f.name == "doc_id" else None)
+             for c, f in zip(columns, schema, strict=True)], schema=schema,
+        )
 
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(cut, "digest long, doc_id long, row_key int, place int")
+    return rows.mapInArrow(cut, _UNITS)
 
 
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -179,7 +217,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ``start`` and ``length`` in code points of the original text, in order. A null text
     stays null, an empty one empty; both lose nothing. Rows that repeat an id and its text
     are one document and get the same result; rows that share only the id are told apart.
-    Other columns are ignored. An empty table gives no rows.
+    Very long texts are whole. Other columns are ignored. An empty table gives no rows.
 
     Digests are pre-aggregated before they are shuffled, and only those seen twice are
     joined back, so a line that everybody has is one row of the joined side, and its
@@ -190,16 +228,16 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # Written first: then both sides of the join are dealt out for it alone, and Spark can
     # split the part of a digest that many documents share.
     repeated = stored(
-        found.groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first"))
-        .where("n > 1")
-        .select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.row_key").alias("first_key"), F.col("first.place").alias("first_place"))
+        found.groupBy("high", "low")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("lead").alias("n_docs"), F.max("short").alias("short"), F.min(rank).alias("first"))
+        .where((F.col("n") > 1) & (~F.col("short") | (F.col("n_docs") >= LINE_DOCS)))
+        .select("high", "low", F.col("first.doc_id").alias("first_id"), F.col("first.row_key").alias("first_key"), F.col("first.place").alias("first_place"))
     )
     same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("row_key") == F.col("first_key"))
     later = (
-        found.join(repeated, "digest")
+        found.select("high", "low", "doc_id", "row_key", "place").join(repeated, ["high", "low"])
         .where(~(same & (F.col("place") == F.col("first_place"))))
-        # Places of one text: as many at most as the text has units and windows.
+        # Places of one text: as many at most as the text has units.
         .groupBy("doc_id", "row_key")
         .agg(F.collect_set(F.struct("place", F.when(same, F.col("first_place")).alias("own"))).alias("places"))
         .withColumnRenamed("doc_id", "of_id")
@@ -214,15 +252,14 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             )
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
         for batch in batches:
             texts, spans = [], []
             for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 out = []
                 if places:
-                    found = [(p["place"], p["own"]) for p in places]
-                    inside = {p >> 1: None if own is None else own >> 1 for p, own in found if p & 1}
-                    units_ = {p >> 1 for p, _ in found if not p & 1}
-                    out = removed_spans(text, units_, min_words, window_runs(text, inside) if inside else ())
+                    repeats = [(p["place"], p["own"]) for p in places]
+                    out = removed_spans(text, *Units(text, known).covered(repeats), min_words)
                 at, kept = 0, []
                 for start, length in out:
                     kept.append(text[at:start])
