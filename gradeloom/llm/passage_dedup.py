@@ -14,7 +14,6 @@ that was taken out.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,21 +26,14 @@ from gradeloom.llm.shared import stored
 
 MIN_WORDS, PIECE_WORDS = 12, 6
 LINE_WORDS, LINE_DOCS = 3, 10
-#: Words whose hash a task remembers.
-KNOWN = 300_000
-_WORD = re.compile(r"\S+")
+#: Code points of texts that are cut at once.
+TOGETHER = 2_000_000
+#: Which code points are white space; none lies beyond the last of these.
+_WHITE = np.array([chr(i).isspace() for i in range(0x3002)])
 #: The halves of a digest are two polynomials over the hashes of the words.
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > KNOWN:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return found
-
-
 def _powers(base: int, n: int, kept: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006
     have = kept.get(base)
     if have is None or len(have) < n:
@@ -56,7 +48,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def run_digests(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int) -> np.ndarray:
+def run_digests(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """128 bits, as two numbers, for each run of words ``start`` to ``end`` (not empty).
 
     Differences of running polynomial sums; a run's place is multiplied away by the inverse
@@ -69,92 +61,113 @@ def run_digests(hashes: np.ndarray, start: np.ndarray, end: np.ndarray, kind: in
         sums = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_mixed(hashes + np.uint64(half)) * powers[:n], out=sums[1:])
         found = (sums[end] - sums[start]) * inverse[start] * np.uint64(base)
-        out[half] = _mixed(found + (end - start).astype(np.uint64) * np.uint64(2) + np.uint64(kind)).view(np.int64)
+        out[half] = _mixed(found + (end - start).astype(np.uint64) * np.uint64(2) + kind.astype(np.uint64)).view(np.int64)
     return out
 
 
 class Units:
-    """The lines and pieces of a text, as numbers of words."""
-
-    def __init__(self, text: str, known: dict[str, int]) -> None:
-        words = text.lower().split()
-        self.hashes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    """The lines and pieces of several texts, as numbers of words counted through all of them."""
+
+    def __init__(self, texts: list[str]) -> None:
+        # The one letter whose lower case is longer becomes a plain i, so that places hold.
+        plain = "\n".join(texts).replace("\u0130", "i").lower()
+        codes = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        white = np.concatenate([[True], _WHITE[np.minimum(codes, len(_WHITE) - 1)], [True]])
+        edges = np.flatnonzero(white[1:] != white[:-1])
+        #: Where each word starts, in the joined texts.
+        self.at, stop = edges[::2], edges[1::2]
+        sums = np.zeros(len(codes) + 1, dtype=np.uint64)
+        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(_BASES[0], len(codes) + 1)[: len(codes)], out=sums[1:])
+        inverse = _powers(pow(_BASES[0], -1, 2**64), len(codes) + 1)
+        self.hashes = _mixed((sums[stop] - sums[self.at]) * inverse[self.at])
+        breaks = np.flatnonzero(codes == 10)
+        #: The words of line n go from line_starts[n] to line_ends[n].
+        self.line_starts = np.concatenate([[0], np.searchsorted(self.at, breaks)])
+        self.line_ends = np.append(self.line_starts[1:], len(self.at))
+        #: Where the texts begin: in code points, lines and words, and the end of all.
+        sizes = np.array([len(t) + 1 for t in texts])
+        self.begins = np.concatenate([[0], np.cumsum(sizes)])
+        self.first_line = np.searchsorted(breaks, self.begins[:-1]).astype(np.int64)
+        self.first_word = np.searchsorted(self.at, self.begins)
         ends = np.flatnonzero(self.hashes % np.uint64(PIECE_WORDS) == 0) + 1
-        #: Pieces go from one of these to the next.
-        self.cuts = np.unique(np.concatenate([[0], ends, [len(words)]])) if words else np.zeros(1, dtype=np.int64)
-        counts = [len(line.split()) for line in text.split("\n")]
-        self.line_ends = np.cumsum(counts)
-        self.line_starts = self.line_ends - counts
+        #: Pieces go from one of these to the next; every text begins one.
+        self.cuts = np.unique(np.concatenate([ends, self.first_word]))
+        self.first_cut = np.searchsorted(self.cuts, self.first_word)
 
-    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place, first and last word (exclusive) of each unit that is hashed.
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, place, first and last word (exclusive) of each unit that is hashed.
 
-        Places of lines are even, twice the line's number; those of two neighbouring pieces
-        odd, twice the number of the first and one.
+        Places count in the text. Those of lines are even, twice the line's number; those of
+        two neighbouring pieces odd, twice the number of the first and one.
         """
         lines = np.flatnonzero(self.line_ends > self.line_starts)
+        of_line = np.searchsorted(self.first_line, lines, side="right") - 1
         pairs = np.arange(max(len(self.cuts) - 2, 0))
-        place = np.concatenate([2 * lines, 2 * pairs + 1])
+        of_pair = np.searchsorted(self.first_word, self.cuts[pairs], side="right") - 1
+        inside = self.cuts[pairs + 2] <= self.first_word[of_pair + 1]
+        pairs, of_pair = pairs[inside], of_pair[inside]
+        place = np.concatenate([2 * (lines - self.first_line[of_line]), 2 * (pairs - self.first_cut[of_pair]) + 1])
         start = np.concatenate([self.line_starts[lines], self.cuts[pairs]])
         end = np.concatenate([self.line_ends[lines], self.cuts[pairs + 2]])
-        return place, start, end
-
-    def digests(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places, digests (two rows), and which lines have fewer than ``MIN_WORDS`` words."""
-        place, start, end = self.runs()
-        made = np.empty((2, len(place)), dtype=np.int64)
-        pieces = place % 2 == 1
-        for kind, chosen in enumerate((~pieces, pieces)):
-            made[:, chosen] = run_digests(self.hashes, start[chosen], end[chosen], kind)
-        return place, made, ~pieces & (end - start < MIN_WORDS)
+        return np.concatenate([of_line, of_pair]), place, start, end
 
-    def covered(self, places: list[tuple[int, int | None]]) -> tuple[np.ndarray, np.ndarray]:
-        """Words that repeats cover, and lines that go whole however short.
+    def covered(self, text: int, places: list[tuple[int, int | None]]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of a text that repeats cover, and its lines that go whole however short.
 
         A repeat is its place and, if its earliest occurrence is in the same text, the
         place of that one, which stays.
         """
-        words, lines = np.zeros(len(self.hashes), dtype=bool), np.zeros(len(self.line_ends), dtype=bool)
+        base, line, cut = self.first_word[text], self.first_line[text], self.first_cut[text]
+        n_lines = (self.first_line[text + 1] if text + 1 < len(self.first_line) else len(self.line_ends)) - line
+        words = np.zeros(self.first_word[text + 1] - base, dtype=bool)
+        lines = np.zeros(n_lines, dtype=bool)
         for place, own in places:
             n = place >> 1
             if place % 2 == 0:
-                words[self.line_starts[n] : self.line_ends[n]] = True
-                lines[n] = self.line_ends[n] - self.line_starts[n] < MIN_WORDS
+                a, b = self.line_starts[line + n], self.line_ends[line + n]
+                words[a - base : b - base] = True
+                lines[n] = b - a < MIN_WORDS
             else:
                 first = n if own is None else max(n, (own >> 1) + 2)
                 if first < n + 2:
-                    words[self.cuts[first] : self.cuts[n + 2]] = True
+                    words[self.cuts[cut + first] - base : self.cuts[cut + n + 2] - base] = True
         return words, lines
 
+    def spans(self, text: int, size: int, words: np.ndarray, lines: np.ndarray, min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+        """``(start, length)`` of what goes from a text of ``size`` code points, in order.
 
-def removed_spans(
-    text: str, words: np.ndarray, lines: np.ndarray, min_words: int = MIN_WORDS
-) -> list[tuple[int, int]]:
-    """``(start, length)`` of what goes, in code points and in order.
-
-    ``words`` and ``lines`` tell for each of the text whether it repeats; a run of repeated
-    words goes if it has ``min_words`` or is made of ``lines`` alone. A span reaches to the
-    next word that stays, and over the line break behind it where it begins a line.
-    """
-    at = [m.start() for m in _WORD.finditer(text)] + [len(text)]
-    counts = [len(line.split()) for line in text.split("\n")]
-    line_of = np.repeat(np.arange(len(counts)), counts)
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], words.astype(np.int8), [0]])))
-    spans = []
-    for a, b in edges.reshape(-1, 2).tolist():
-        if b - a < min_words:
-            # A short run: only its whole lines.
-            whole = [n for n in range(line_of[a], line_of[b - 1] + 1) if lines[n]]
-            runs = [(int(np.searchsorted(line_of, n)), int(np.searchsorted(line_of, n, side="right"))) for n in whole]
-        else:
+        ``words`` and ``lines`` tell for each of the text whether it repeats; a run of
+        repeated words goes if it has ``min_words`` or is made of ``lines`` alone. A span
+        reaches to the next word that stays, over the line break between.
+        """
+        base, line = self.first_word[text], self.first_line[text]
+        at = np.append(self.at[base : self.first_word[text + 1]] - self.begins[text], size).tolist()
+        low, high = self.line_starts[line : line + len(lines)] - base, self.line_ends[line : line + len(lines)] - base
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], words.astype(np.int8), [0]])))
+        spans: list[tuple[int, int]] = []
+        for a, b in edges.reshape(-1, 2).tolist():
             runs = [(a, b)]
-        for c, d in runs:
-            start, end = at[c] if c else 0, at[d]
-            if spans and spans[-1][1] == start:
-                spans[-1] = (spans[-1][0], end)
-            else:
-                spans.append((start, end))
-    return [(a, b - a) for a, b in spans]
+            if b - a < min_words:
+                # A short run: only its whole lines.
+                whole = np.flatnonzero(lines & (low >= a) & (high <= b) & (high > low))
+                runs = [(int(low[n]), int(high[n])) for n in whole]
+            for c, d in runs:
+                start, end = at[c] if c else 0, at[d]
+                if spans and spans[-1][1] == start:
+                    spans[-1] = (spans[-1][0], end)
+                else:
+                    spans.append((start, end))
+        return [(a, b - a) for a, b in spans]
+
+
+def in_parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """The texts in runs of about ``TOGETHER`` code points, with the number of the first."""
+    low, size = 0, 0
+    for n, text in enumerate(texts):
+        size += len(text)
+        if size > TOGETHER or n == len(texts) - 1:
+            yield low, texts[low : n + 1]
+            low, size = n + 1, 0
 
 
 def _row_key(text: str) -> int:
@@ -176,35 +189,30 @@ def units(docs: DataFrame) -> DataFrame:
     schema = pa.schema([(n, types[t]) for n, t in (c.split() for c in _UNITS.split(", "))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            parts: list[list[np.ndarray]] = []
-            held = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = Units(text, known)
-                place, (high, low), short = own.digests()
-                _, start, end = own.runs()
-                use = ~short | (end - start >= LINE_WORDS)
-                place, high, low, short = place[use], high[use], low[use], short[use]
-                lead = np.zeros(len(place), dtype=np.int32)
-                lead[np.unique(high, return_index=True)[1]] = 1
-                missing = doc_id is None
-                ids = np.full(len(place), 0 if missing else doc_id)
-                parts.append([high, low, ids, np.full(len(place), _row_key(text)), place, lead, short, np.full(len(place), missing)])
-                held += len(place)
-                if held > 50_000:
-                    yield batch_of(parts)
-                    parts, held = [], 0
-            if held:
-                yield batch_of(parts)
-
-    def batch_of(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        missing = columns.pop()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c.astype(f.type.to_pandas_dtype()), mask=missing if f.name == "doc_id" else None)
-             for c, f in zip(columns, schema, strict=True)], schema=schema,
+            for low, texts in in_parts(batch.column(1).to_pylist()):
+                yield from batches_of(batch.column(0).slice(low, len(texts)), texts)
+
+    def batches_of(doc_ids: pa.Array, texts: list[str]) -> Iterator[pa.RecordBatch]:
+        own = Units(texts)
+        text, place, start, end = own.runs()
+        short = (place % 2 == 0) & (end - start < MIN_WORDS)
+        use = ~short | (end - start >= LINE_WORDS)
+        text, place, start, end, short = text[use], place[use], start[use], end[use], short[use]
+        made = run_digests(own.hashes, start, end, place % 2)
+        lead = np.ones(len(text), dtype=np.int32)
+        # Only lines are counted by documents: the first of equal ones of a text.
+        lines = np.flatnonzero(short)
+        _, first = np.unique(np.stack([text[lines], made[0, lines]]), axis=1, return_index=True)
+        lead[lines] = 0
+        lead[lines[first]] = 1
+        keys = np.array([_row_key(t) for t in texts])
+        whole = pa.RecordBatch.from_arrays(
+            [pa.array(made[0]), pa.array(made[1]), doc_ids.take(pa.array(text)), pa.array(keys[text].astype(np.int32)),
+             pa.array(place.astype(np.int32)), pa.array(lead), pa.array(short)], schema=schema,
         )
+        for low in range(0, len(text), 50_000):
+            yield whole.slice(low, 50_000)
 
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(cut, _UNITS)
@@ -252,14 +260,18 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             )
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
+            given, all_places = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            touched = [n for n, places in enumerate(all_places) if places]
+            found: dict[int, list[tuple[int, int]]] = {}
+            for low, own_texts in in_parts([given[n] for n in touched]):
+                own = Units(own_texts)
+                for k, n in enumerate(touched[low : low + len(own_texts)]):
+                    repeats = [(p["place"], p["own"]) for p in all_places[n]]
+                    found[n] = own.spans(k, len(given[n]), *own.covered(k, repeats), min_words)
             texts, spans = [], []
-            for text, places in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                out = []
-                if places:
-                    repeats = [(p["place"], p["own"]) for p in places]
-                    out = removed_spans(text, *Units(text, known).covered(repeats), min_words)
+            for n, text in enumerate(given):
+                out = found.get(n, [])
                 at, kept = 0, []
                 for start, length in out:
                     kept.append(text[at:start])

@@ -204,7 +204,7 @@ def brute_units(text):
     pieces = [[]]
     for word in words:
         pieces[-1].append(word)
-        if xxhash.xxh64_intdigest(word.encode()) % passage_dedup.PIECE_WORDS == 0:
+        if int(passage_dedup.Units([word]).hashes[0]) % passage_dedup.PIECE_WORDS == 0:
             pieces.append([])
     pieces = [p for p in pieces if p]
     return out + [(2 * n + 1, ("pieces", *a, *b)) for n, (a, b) in enumerate(zip(pieces, pieces[1:], strict=False))], pieces
@@ -323,7 +323,8 @@ def test_removed_spans_lie_in_the_text_in_order(text, word_bits, line_bits):
     words_ = np.array([word_bits >> k & 1 for k in range(len(text.split()))], dtype=bool)
     lines = np.array([line_bits >> k & 1 for k in range(text.count("\n") + 1)], dtype=bool)
     at = 0
-    for start, length in passage_dedup.removed_spans(text, words_, lines, min_words=3):
+    own = passage_dedup.Units(["so", text, "and"])
+    for start, length in own.spans(1, len(text), words_, lines, min_words=3):
         assert at <= start and length > 0
         at = start + length
     assert at <= len(text)
