@@ -29,11 +29,15 @@ def build_session(cores: int | str = "*", shuffle_partitions: int | None = None)
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in tests, a local folder is used.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all
+    runs in one process, as in tests, a local folder is used; on a cluster its executors
+    could not see it, so there a missing setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all of {master} can reach")
         named = tempfile.mkdtemp(prefix="gradeloom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", named)
     spark.sparkContext.setCheckpointDir(named)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.operators import planning
+from gradeloom.session import checkpoint_dir
 from gradeloom.sources import sinks, staging
 from gradeloom.streaming import doneness
 
@@ -87,6 +90,21 @@ def test_jobs_do_not_grow_with_the_names_in_scope(spark, target):
     assert rows_in(spark, target) == [("C", "A", "new"), ("C", "B", "old"), ("D", "A", "old")]
 
 
+def test_a_cluster_without_a_shared_folder_is_told_so():
+    class Conf(dict):
+        def set(self, name, value):
+            self[name] = value
+
+    def session(master, **conf):
+        context = SimpleNamespace(master=master, setCheckpointDir=lambda path: None)
+        return SimpleNamespace(sparkContext=context, conf=Conf(conf))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_dir(session("spark://host:7077"))
+    assert checkpoint_dir(session("spark://host:7077", **{"spark.checkpoint.dir": "hdfs://x"})) == "hdfs://x"
+    assert checkpoint_dir(session("local[4]"))
+
+
 # --- releases ----------------------------------------------------------------------------
 
 
