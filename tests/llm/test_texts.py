@@ -569,3 +569,47 @@ def test_values_beside_other_numbers_and_words_are_found(spark):
         assert out[i].text.startswith(before) and out[i].text.endswith(after) and len(out[i].text) == len(text)
     back = {r.doc_id: r.text for r in pseudonyms.pseudonymised(replaced, "k", backwards=True).collect()}
     assert [back[i] for i in range(len(cases))] == list(cases)
+
+
+def test_overlaps_and_forests_equal_plain_sets(monkeypatch):
+    monkeypatch.setattr(simhash_groups, "COLUMNS_AT_ONCE", 7)
+    draw = np.random.default_rng(5)
+    sets = [np.unique(draw.integers(0, 40, draw.integers(0, 30))).astype(np.uint32) for _ in range(30)]
+    left, right = sets[:12], sets[12:]
+    assert simhash_groups.overlaps(left, right).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in right] for x in left]
+    members = [(i, i % 20, s.tobytes()) for i, s in enumerate(sets)]
+    links = simhash_groups.forest(members, members, 0.4)
+
+    def alike(x, y):
+        x, y = set(sets[x].tolist()), set(sets[y].tolist())
+        return len(x & y) >= 0.4 * len(x | y)
+
+    def groups(pairs):
+        of = list(range(20))
+        for x, y in pairs:
+            x, y = of[x % 20], of[y % 20]
+            of = [min(x, y) if g in (x, y) else g for g in of]
+        return of
+
+    assert all(alike(x, y) and x % 20 != y % 20 for x, y in links)
+    assert groups(links) == groups([(x, y) for x in range(30) for y in range(30) if alike(x, y)])
+
+
+def test_a_family_over_several_chunks_loses_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash_groups, "MEMBERS", 16)
+    base, rows = prose(950, 150), []
+    for i in range(70):
+        rows.append((i, " ".join([*base[:64], *prose(30_000 + i, 22), *base[86:]])))
+    # A large part of its own: copies of row 0 that differ in one word.
+    rows += [(1000 + i, rows[0][1] + f" end{i}") for i in range(40)]
+    rows += [(2000 + i, rows[i][1] + " tail") for i in range(0, 70, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_groups.one_of_each(docs).collect()) == list(range(70))
+
+
+def test_near_groups_keep_the_callers_columns(spark):
+    rows = [(1, "a b c", "x", 1, 2, 3), (2, "a b c", "y", 4, 5, 6), (3, "d e f", None, 7, 8, 9)]
+    names = ["doc_id", "text", "__text_key", "key", "__n", "a.b"]
+    out = simhash_groups.one_of_each(spark.createDataFrame(rows, names))
+    assert out.columns == names
+    assert sorted(tuple(r) for r in out.collect()) == [rows[0], rows[2]]
