@@ -18,6 +18,8 @@ from gradeloom.llm.shared import stored, whole_text
 
 MAX_REPEATS = 2.0
 BLOCK_TOKENS = 65_536
+#: First bits of a block's order that name its range.
+RANGE_BITS = 16
 #: Sections of the exponent's interval that one job tries at once, and jobs.
 SECTIONS, JOBS = 32, 6
 #: Sources up to which their table is broadcast; more are joined by a shuffle.
@@ -118,10 +120,21 @@ def plan(
     placed = with_sources(rows, epochs).withColumn("block", block_of(F.col("doc_key"), F.col("blocks"))).withColumn(
         "block_order", block_order(F.lit(seed), F.col("source"), F.col("full") + 1, F.col("block"))
     )
-    sizes = placed.groupBy("source", "block_order", "rest").agg(F.sum("tokens").alias("size"))
+    # Orders are hashes, so their first bits are even ranges: at most 2 ** RANGE_BITS a source.
+    # Their totals name the one range of a source where the budget ends.
+    placed = placed.withColumn("range", F.shiftright("block_order", 64 - RANGE_BITS))
+    sizes = stored(placed.groupBy("source", "range", "block_order", "rest").agg(F.sum("tokens").alias("size")))
+    ranges = sizes.groupBy("source", "range", "rest").agg(F.sum("size").alias("size"))
+    last_range = (
+        ranges.withColumn("upto", F.sum("size").over(Window.partitionBy("source").orderBy("range")))
+        .where("upto > rest").groupBy("source")
+        .agg(F.min(F.struct("range", (F.col("upto") - F.col("size")).alias("before"))).alias("at"))
+        .select(F.col("source").alias("of"), F.col("at.range").alias("in"), F.col("at.before").alias("before"))
+    )
     along = Window.partitionBy("source").orderBy("block_order")
     ends = (
-        sizes.withColumn("upto", F.sum("size").over(along)).where("upto > rest").groupBy("source")
+        sizes.join(last_range, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("in")))
+        .withColumn("upto", F.col("before") + F.sum("size").over(along)).where("upto > rest").groupBy("source")
         .agg(F.min(F.struct("block_order", (F.col("rest") - F.col("upto") + F.col("size")).alias("room"))).alias("at"))
         .select("source", F.col("at.block_order").alias("last_block"), F.col("at.room").alias("room"))
     )
@@ -129,6 +142,7 @@ def plan(
     inside = (
         with_sources(rows, epochs).withColumn("block", block_of(F.col("doc_key"), F.col("blocks")))
         .where(block_order(F.lit(seed), F.col("source"), F.col("full") + 1, F.col("block")) == F.col("last_block"))
+        .groupBy("source", "doc_key", "room").agg(F.sum("tokens").alias("tokens"))
         .withColumn("upto", F.sum("tokens").over(Window.partitionBy("source").orderBy("doc_key")))
         .where("upto <= room").groupBy("source").agg(F.max("doc_key").alias("last_doc"))
     )
@@ -174,12 +188,11 @@ def mixed(
     Texts stay where they are: what a document needs to know is one row per source.
     """
     added = ["tokens", "weight", "epoch", "block", "block_order", "doc_order"]
-    rows = docs.drop(*added).withColumns(
-        {"__text": whole_text(), "source": F.col("source").cast("string")}
+    # The caller's columns ride in a struct, so that none of them meets a name used here.
+    keyed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("source").cast("string").alias("source"),
+        tokens(whole_text()).alias("tokens"), F.xxhash64(F.lit(seed), "doc_id", whole_text()).alias("doc_order"),
     )
-    keyed = rows.withColumn("tokens", tokens(F.col("__text"))).withColumn(
-        "doc_order", F.xxhash64(F.lit(seed), "doc_id", "__text")
-    ).drop("__text")
     slim = stored(keyed.select("source", "tokens", F.col("doc_order").alias("doc_key")))
     sources = stored(plan(slim, budget, max_repeats, target_entropy, block_tokens, seed))
     placed = with_sources(keyed, sources).withColumn("block", block_of(F.col("doc_order"), F.col("blocks")))
@@ -188,9 +201,11 @@ def mixed(
         (order == F.col("last_block")) & (F.col("doc_order") <= F.col("last_doc"))
     )
     copies = (F.col("full") + F.coalesce(partly, F.lit(False)).cast("long")).cast("int")
-    used = placed.withColumn("__copies", copies).where("__copies > 0")
-    spread = used.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    kept = [c for c in docs.columns if c not in added]
+    used = placed.withColumn("copies", copies).where("copies > 0")
+    spread = used.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    kept = [
+        F.col("source") if c == "source" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added
+    ]
     return spread.withColumn(
         "block_order", block_order(F.lit(seed), F.col("source"), F.col("epoch").cast("long"), F.col("block"))
     ).select(*kept, *added)
