@@ -358,3 +358,43 @@ def test_open_hidden_elements_end_where_browsers_end_them():
         assert texts(f"<body><div><{tag}>in<p>side</p></{tag}><p>one</p></div>") == ["one"]
     block = html_blocks.blocks("<body><nav>" + "<b>" * 100 + "menu")[0]
     assert [tag for tag, _ in block.path] == ["body", "nav"]
+
+
+def test_the_end_of_a_budget_equals_a_walk_over_all_blocks(spark, uneven):
+    """Where the last epoch ends, by plain sums over each source's blocks and documents."""
+    rows = uneven.withColumns({"tokens": mixing.tokens(F.col("text")), "doc_key": F.xxhash64("doc_id")}).select(
+        "source", "tokens", "doc_key"
+    )
+    planned = mixing.plan(rows, budget=14_321, max_repeats=None, target_entropy=0.9, block_tokens=40).collect()
+    order = {}
+    for p in planned:
+        keyed = rows.where(F.col("source") == p.source).withColumn("block", mixing.block_of(F.col("doc_key"), F.lit(p.blocks)))
+        keyed = keyed.withColumn("order", mixing.block_order(F.lit(42), F.col("source"), F.lit(p.full + 1).cast("long"), F.col("block")))
+        order[p.source] = sorted((r.order, r.doc_key, r.tokens) for r in keyed.collect())
+    for p in planned:
+        left, sizes = p.rest, Counter()
+        for block, _, n in order[p.source]:
+            sizes[block] += n
+        for block in sorted(sizes):
+            if sizes[block] > left:
+                break
+            left -= sizes[block]
+        assert (p.last_block, p.room) == (block, left)
+        last = None
+        for at, key, n in order[p.source]:
+            if at == block:
+                left -= n
+                last = key if left >= 0 else last
+        assert p.last_doc == last
+
+
+def test_mixing_and_quality_keep_the_callers_columns(spark):
+    names = ["doc_id", "text", "source", "lang", "n_chars", "__text", "__copies", "share", "numbers", "row"]
+    rows = [(i, f"some words {i}", "s", "en", 12, "mine", 7, 0.5, 3, "r") for i in range(4)]
+    docs = spark.createDataFrame(rows, names)
+    out = mixing.mixed(docs)
+    assert out.columns[: len(names)] == names
+    assert sorted({tuple(r)[: len(names)] for r in out.collect()}) == rows
+    labels = spark.createDataFrame([(i, 1) for i in range(4)], "doc_id long, quality int")
+    kept = cotraining.kept(docs, labels)
+    assert kept.columns == names and sorted(tuple(r) for r in kept.collect()) == rows
