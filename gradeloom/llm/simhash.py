@@ -161,7 +161,9 @@ def close_links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 [pa.array(every[:, 0].copy()), pa.array(every[:, 1].copy())], names=["a", "b"]
             )
 
-    index = prints.select(F.explode(_keys("bits")).alias("key"), "bits")
+    # Distinct fingerprints are small and would be read by a few tasks; each makes many keys.
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = prints.repartition(tasks, "bits").select(F.explode(_keys("bits")).alias("key"), "bits")
     return index.repartition("key").sortWithinPartitions("key").mapInArrow(links, "a long, b long")
 
 
