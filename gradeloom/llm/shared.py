@@ -56,6 +56,10 @@ def range_blocks(df: DataFrame, column: str, blocks: int) -> tuple[DataFrame, in
     return placed.withColumn("__block", F.col("__at").cast("int")).drop("__value", "__at"), len(splits) + 1
 
 
+#: Edges that one task of ``connected`` reads, where there are not more tasks anyway.
+EDGES_A_TASK = 100_000
+
+
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, root)`` for every node of ``edges (a, b)``: the smallest node reachable.
 
@@ -77,6 +81,8 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if before[0] == 0:
             break
+        # A small graph needs few tasks, and leaves few files behind in each round.
+        current = current.coalesce(1 + before[0] // EDGES_A_TASK)
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
         large = (
