@@ -83,4 +83,4 @@ def test_run_is_the_stages_in_a_row(spark, stages):
 
 def test_every_dealt_operator_is_registered_once():
     names = [n for n in __spark_entry__.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
