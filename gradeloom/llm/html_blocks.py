@@ -3,22 +3,30 @@
 A page is read once, tag by tag, with the implied end tags that matter for blocks. A block
 is a run of text between block-level tags; inline tags do not end it. It carries its
 ancestors' tags and the words of their ``class``, ``id`` and ``role`` attributes.
+
+Time and memory are linear in the page, whatever its depth: an end tag finds its element by
+the places of its name in the stack, a block's ancestors are a chain that blocks share, and
+each ancestor sums up what the ones above it say.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from dataclasses import dataclass, field
+from bisect import bisect_left
+from collections import defaultdict
+from dataclasses import dataclass
+from functools import cached_property
 from html import unescape
 
 # Element classes of HTML.
 INLINE = set(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr acronym".split()
+    "small span strike strong sub sup time tt u var wbr acronym "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover "
+    "munderover mmultiscripts mprescripts mtable mtr mtd menclose semantics annotation annotation-xml".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style template noscript iframe object svg canvas textarea select head title audio video math".split())
+HIDDEN = set("script style template noscript iframe object svg canvas textarea select head title audio video annotation annotation-xml".split())
 RAW = ("script", "style", "textarea", "title", "template", "noscript", "iframe")
 CLOSES_P = set(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
@@ -36,26 +44,73 @@ IN_HEAD = set("base basefont bgsound link meta title script style noscript templ
 LOOSE = HIDDEN - set(RAW) - {"head"}
 _LOOSE_TAG = re.compile(rf"<(/?)({'|'.join(sorted(LOOSE))})(?=[\s/>])", re.I)
 
-# A tag holds no "<" outside quoted values, and a tag whose quotes do not close ends at the
-# next ">": each try looks a bounded way ahead, so reading stays linear in the page.
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>|"
-    r"<(/?)([a-zA-Z][^\s<>/]{0,64}+)(?:((?:[^<>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+')*+)>|([^<>]*+)>)",
-    re.S,
+_START = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][^\s<>/]{0,64}+)", re.S
 )
-#: Innermost open block-level elements that a block remembers.
-DEPTH = 64
+_UNQUOTED = re.compile(r"[^<>\"']*+")
+_PLAIN_END = re.compile(r"[^<>]*+>")
+_RAW_END = re.compile(rf"</({'|'.join(RAW)})\s*>", re.I)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|style|aria-label|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 
+@dataclass
+class Place:
+    """An open block-level element, and the chain of those around it."""
+
+    tag: str
+    words: frozenset[str]
+    above: Place | None
+
+    @cached_property
+    def groups(self) -> frozenset[str]:
+        """Layout groups of its own words; the whole page's say nothing."""
+        return frozenset() if self.tag in ("html", "body") else frozenset(HINT_OF[w] for w in self.words if w in HINT_OF)
+
+    @cached_property
+    def summary(self) -> tuple[frozenset[str], frozenset[str], frozenset[str], bool]:
+        """What holds for a block in it: features, innermost groups, place in an article, a holder of the main text.
+
+        Worked out after that of the element above; chains are walked from their known part.
+        """
+        seen, innermost, within, holder = self.above.summary if self.above else _NOWHERE
+        names = {f"hint {g}" for g in self.groups}
+        if f"in {self.tag}" in INDEX:
+            names.add(f"in {self.tag}")
+        if self.tag in ("article", "main"):
+            within = frozenset({"article"})
+        elif self.tag not in ("html", "body"):
+            if within:
+                if self.groups - {"main", "meta", "head"} or self.tag in ("nav", "aside", "footer", "form"):
+                    within |= {"boiler in article"}
+                elif self.tag == "header":
+                    within |= {"head in article"}
+        if self.tag not in ("html", "body") and "hidden" in self.words:
+            names.add("hidden")
+        holder = holder or self.tag in ("article", "main") or self.tag != "body" and "main" in {
+            HINT_OF.get(w) for w in self.words
+        }
+        return seen if names <= seen else seen | names, self.groups or innermost, within, holder
+
+
+_NOWHERE: tuple[frozenset[str], frozenset[str], frozenset[str], bool] = (frozenset(), frozenset(), frozenset(), False)
+
+
 @dataclass
 class Block:
     text: str
-    #: Open elements from the outermost to the innermost: tag and attribute words.
-    path: list[tuple[str, frozenset[str]]]
+    #: The innermost open block-level element.
+    place: Place | None
     link_chars: int = 0
-    parts: list[str] = field(default_factory=list)
+
+    @property
+    def path(self) -> list[tuple[str, frozenset[str]]]:
+        """Open block-level elements from the outermost to the innermost: tag and attribute words."""
+        found, place = [], self.place
+        while place:
+            found.append((place.tag, place.words))
+            place = place.above
+        return found[::-1]
 
 
 def _words(attributes: str) -> frozenset[str]:
@@ -81,100 +136,153 @@ def _unclosed(html: str) -> set[int]:
     return {at for starts in waiting.values() for at in starts}
 
 
+class _Tags:
+    """Where the tags of a page end."""
+
+    def __init__(self, html: str):
+        self.html = html
+        #: For each quote the place from which on there is none.
+        self.none_from = {'"': len(html), "'": len(html)}
+
+    def end(self, at: int) -> int:
+        """After the tag whose name ends at ``at``; -1 where none ends, and the text is no tag.
+
+        Quoted values go to their closing quote. A tag whose quotes do not close, or that
+        holds "<" outside of them, ends at the next ">" before any "<". However the quotes
+        of a page lie, at most three tries read the same character, as each quote swaps two
+        of the three states that a try can be in.
+        """
+        html, here = self.html, at
+        while True:
+            here = _UNQUOTED.match(html, here).end()
+            mark = html[here:here + 1]
+            if mark == ">":
+                return here + 1
+            if mark not in self.none_from or here + 1 >= self.none_from[mark]:
+                break
+            close = html.find(mark, here + 1)
+            if close < 0:
+                self.none_from[mark] = here + 1
+                break
+            here = close + 1
+        plain = _PLAIN_END.match(html, at)
+        return plain.end() if plain else -1
+
+
+def _raw_ends(html: str) -> dict[str, tuple[list[int], list[int]]]:
+    """For each name of ``RAW`` where its end tags start and end."""
+    ends: dict[str, tuple[list[int], list[int]]] = {name: ([], []) for name in RAW}
+    for match in _RAW_END.finditer(html):
+        starts, stops = ends[match[1].lower()]
+        starts.append(match.start())
+        stops.append(match.end())
+    return ends
+
+
 def blocks(html: str) -> list[Block]:
     """The blocks with text, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[str] = []
     pieces: list[str] = []
     linked = 0
-    open_now: Counter[str] = Counter()
+    #: Where in the stack each name is, and where the block-level elements are.
+    where: defaultdict[str, list[int]] = defaultdict(list)
+    outer: list[int] = []
+    place: Place | None = None
     hidden = 0
-    #: Block-level elements of the stack, and where in the stack unclosed hidden ones are.
-    outer: list[tuple[str, frozenset[str]]] = []
+    #: Where in the stack unclosed hidden elements are.
     loose: list[int] = []
     unclosed = _unclosed(html)
+    raw_ends = _raw_ends(html)
+    tags = _Tags(html)
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(pieces)).split())
         if text:
-            out.append(Block(text, outer[-DEPTH:], min(linked, len(text))))
+            out.append(Block(text, place, min(linked, len(text))))
         pieces.clear()
         linked = 0
 
     def close(upto: int) -> None:
-        nonlocal hidden
-        if any(tag not in INLINE for tag, _ in stack[upto:]):
+        nonlocal hidden, place
+        if outer and outer[-1] >= upto:
             flush()
-        for tag, _ in stack[upto:]:
-            open_now[tag] -= 1
+        for tag in reversed(stack[upto:]):
+            where[tag].pop()
             hidden -= tag in HIDDEN
             if tag not in INLINE:
                 outer.pop()
+                place = place.above
         del stack[upto:]
         while loose and loose[-1] >= upto:
             loose.pop()
 
-    at, end = 0, len(html)
+    def last(names: set[str]) -> int:
+        return max((where[n][-1] for n in names if where.get(n)), default=-1)
+
+    at, look, end = 0, 0, len(html)
     while at < end:
-        match = _TAG.search(html, at)
+        match = _START.search(html, look)
+        after = match.end() if match else end
+        if match and match[2] is not None:
+            after = tags.end(match.end())
+            if after < 0:
+                look = match.end()
+                continue
         stop = match.start() if match else end
-        if stack and stack[-1][0] == "head" and html[at:stop].strip():
+        if stack and stack[-1] == "head" and html[at:stop].strip():
             close(len(stack) - 1)
         if stop > at and not hidden:
             raw = html[at:stop]
             pieces.append(raw)
-            if open_now["a"]:
+            if where["a"]:
                 linked += len(raw.strip())
         if not match:
             break
-        at = match.end()
-        closing, name, quoted, unquoted = match.groups()
+        at = look = after
+        closing, name = match.groups()
         if name is None:
             continue
-        attributes = quoted if quoted is not None else unquoted
+        attributes = html[match.end():after - 1]
         name = name.lower()
         if closing:
-            if open_now[name]:
-                close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+            if where.get(name):
+                close(where[name][-1])
             elif name not in INLINE:
                 flush()
             continue
-        if open_now["head"] and name not in IN_HEAD:
-            close(next(i for i, x in enumerate(stack) if x[0] == "head"))
+        if where["head"] and name not in IN_HEAD:
+            close(where["head"][0])
         if loose and (name in CLOSES_P or name in IMPLIED and name != "option" or name == "body"):
             close(loose[0])
         if name == "br":
             pieces.append(" ")
             continue
-        if name in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] not in INLINE:
-                    break
+        if name in CLOSES_P and outer and stack[outer[-1]] == "p":
+            close(outer[-1])
         if name in IMPLIED:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in IMPLIED[name]:
-                    close(i)
-                    break
-                if stack[i][0] in SCOPES:
-                    break
+            implied = last(IMPLIED[name])
+            if implied > last(SCOPES):
+                close(implied)
         if name not in INLINE:
             flush()
         if name in VOID or attributes.endswith("/") and name not in RAW:
             continue
         if name in RAW:
-            over = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-            at = over.end() if over else (end if name in ("script", "style") else at)
+            starts, stops = raw_ends[name]
+            over = bisect_left(starts, at)
+            at = look = stops[over] if over < len(stops) else (end if name in ("script", "style") else at)
             continue
         if match.start() in unclosed:
             loose.append(len(stack))
-        stack.append((name, _words(attributes)))
         if name not in INLINE:
-            outer.append(stack[-1])
-        open_now[name] += 1
+            place = Place(name, _words(attributes), place)
+            # Known before the next one is opened, so no chain is ever walked.
+            place.summary  # noqa: B018
+            outer.append(len(stack))
+        where[name].append(len(stack))
+        stack.append(name)
         hidden += name in HIDDEN
     flush()
     return out
@@ -215,38 +323,20 @@ _STEPS = (2, 5, 10, 20, 40, 80)
 def described(found: list[Block]) -> list[list[int]]:
     """For each block the numbers of the features that hold."""
     n = len(found)
-    holders = [
-        i for i, b in enumerate(found)
-        if any(t in ("article", "main") or "main" in {HINT_OF.get(w) for w in words} and t != "body" for t, words in b.path)
-    ]
+    nowhere = Place("", frozenset(), None)
+    places = [b.place or nowhere for b in found]
+    holders = [i for i, place in enumerate(places) if place.summary[3]]
     low, high = (holders[0], holders[-1]) if holders else (n, -1)
     inside = set(holders)
     out = []
-    for i, block in enumerate(found):
-        names = {"one"}
-        tags = [t for t, _ in block.path]
-        names.update(f"in {t}" for t in tags if f"in {t}" in INDEX)
-        if tags and f"leaf {tags[-1]}" in INDEX:
-            names.add(f"leaf {tags[-1]}")
-        article = max((k for k, t in enumerate(tags) if t in ("article", "main")), default=-1)
-        innermost = None
-        for k, (tag, words) in enumerate(block.path):
-            groups = {HINT_OF[w] for w in words if w in HINT_OF}
-            if tag in ("html", "body"):
-                continue
-            names.update(f"hint {g}" for g in groups)
-            if k >= len(block.path) - 2:
-                names.update(f"near hint {g}" for g in groups)
-            if groups:
-                innermost = groups
-            if "hidden" in words:
-                names.add("hidden")
-            if 0 <= article < k:
-                if groups - {"main", "meta", "head"} or tag in ("nav", "aside", "footer", "form"):
-                    names.add("boiler in article")
-                elif tag == "header":
-                    names.add("head in article")
-        names.update(f"inner {g}" for g in innermost or ())
+    for i, (block, place) in enumerate(zip(found, places, strict=True)):
+        seen, innermost, within, _ = place.summary
+        names = {"one", *seen, *(within - {"article"})}
+        if f"leaf {place.tag}" in INDEX:
+            names.add(f"leaf {place.tag}")
+        near = place.groups | (place.above.groups if place.above else frozenset())
+        names.update(f"near hint {g}" for g in near)
+        names.update(f"inner {g}" for g in innermost)
         words = block.text.split()
         names.add(f"words {sum(len(words) > s for s in _STEPS)}")
         share = block.link_chars / len(block.text)

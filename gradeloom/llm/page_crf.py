@@ -251,8 +251,9 @@ def extracted(pages: DataFrame, field: Field | None = None) -> DataFrame:
     blocks are joined in page order by a line feed. A null or empty page, and one without
     main text, gives an empty text. Unclosed and stray tags are read as browsers do for
     blocks. Null ids and urls are kept, repeated pages give repeated rows, other columns
-    are ignored, an empty table gives no rows. Pages are read whole, one at a time, in one
-    pass without a shuffle; the field is fitted on the driver from a fixed number of
+    are ignored, an empty table gives no rows. Pages of any length and depth are read whole,
+    in time and memory linear in the page, one at a time, in one pass without a shuffle; the
+    field is fitted on the driver from a fixed number of
     labelled pages.
     """
     field = field or trained()

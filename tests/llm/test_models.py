@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -360,6 +361,39 @@ def test_open_hidden_elements_end_where_browsers_end_them():
     assert [tag for tag, _ in block.path] == ["body", "nav"]
 
 
+def test_quoted_values_and_formulas_of_any_length_are_read():
+    def texts(source):
+        return [b.text for b in html_blocks.blocks(source)]
+
+    long = "y" * 4001
+    assert texts(f'<p data-x="{long}>leak">two') == ["two"]
+    assert texts("<p data-x='" + "y>" * 4200 + "'>two") == ["two"]
+    assert texts('<p title="open>one</p><p>two</p>') == ["one", "two"]
+    assert texts("<p>1 < 2 <b and 3 > 2</p>") == ["1 < 2 2"]
+    assert texts("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p>") == ["so x=2 holds"]
+    deep = html_blocks.blocks("<nav>" + "<div>" * 300 + "menu")[0]
+    assert [t for t, _ in deep.path[:2]] == ["nav", "div"] and len(deep.path) == 301
+    assert html_blocks.INDEX["in nav"] in html_blocks.described([deep])[0]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        lambda n: "<b>" * n + "<hr>" * n, lambda n: "<iframe>" * n, lambda n: "<textarea>" * n,
+        lambda n: "<span><td>" * n, lambda n: "<div class=nav>x" * n, lambda n: "<div>" * n + "<p>x</p>" * n,
+        lambda n: "<a \"'>" * n, lambda n: "<a '\"<" * n, lambda n: "<li><b>" * n,
+    ],
+)
+def test_time_is_linear_in_the_page(page):
+    def seconds(n):
+        source, start = page(n), time.process_time()
+        html_blocks.described(html_blocks.blocks(source))
+        return time.process_time() - start
+
+    # Ten times the page; a quadratic walk would take a hundred times as long.
+    assert seconds(100_000) < 30 * max(seconds(10_000), 0.02)
+
+
 def test_the_end_of_a_budget_equals_a_walk_over_all_blocks(spark, uneven):
     """Where the last epoch ends, by plain sums over each source's blocks and documents."""
     rows = uneven.withColumns({"tokens": mixing.tokens(F.col("text")), "doc_key": F.xxhash64("doc_id")}).select(
