@@ -1,12 +1,21 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 A lexical transducer rewrites words to symbols: insults (learned from labels, with a
-weight), threats, targets, negation, reported speech. Three small transducers read the
-symbols of a clause and are composed into one machine: negation marks what follows it
-within its scope, reported speech marks the rest of its clause, and a target marks the
-attacks of its clause. What comes out are matched attacks with their marks; their weights
-are summed by kind and scored by a logistic model of those sums. A word by itself, in no
-clause, has no score.
+weight), verbs of threats, targets, negation, reported speech, what leads a threat. Small
+transducers read the symbols of a clause from the left and from the right, and are composed
+into one machine for each direction. Each marks the attacks within its reach:
+
+- a negation reaches the next words;
+- a report reaches the rest of its clause, also behind a colon and up to the end of a quote,
+  or the words before it where it ends the clause; what stands between two quotes of a line
+  is reported; a pronoun beside a report is a reporter and no target;
+- a target aims the attacks some words before and behind it;
+- a verb threatens only on a path: behind a modal with a person as its object, behind a wish
+  or "person should" at the end of what it says, or as a command with a person behind it.
+
+What comes out are matched attacks with their marks; their weights are summed by kind and
+scored by a logistic model of those sums. An insult by itself, in no clause, and a verb of
+threats on no path have no score.
 """
 
 from __future__ import annotations
@@ -30,17 +39,26 @@ REPORTED = (
     "behauptete nannte dit disait écrit affirme dijo dice escribió llamó"
 ).split()
 TARGET = (
-    "you your yours you're u he she they them him her his their these those people du dich dir ihr "
-    "euch sie er tu te toi vous ils elles il tú ti vosotros usted ustedes ellos ellas él"
+    "you yours you're yourself yourselves u he she they him them these those people du dich dir "
+    "euch er tu te toi vous ils elles il tú ti vosotros usted ustedes ellos ellas él"
 ).split()
+OWNER = "your his her their ihr sie".split()
 THREAT = "kill hurt burn hang beat stab shoot destroy töten sterben umbringen tuer crever mourir matar morir".split()
+MODAL = "will shall gonna going must i'll we'll they'll he'll she'll you'll".split()
+OUGHT = "should deserve deserves ought".split()
+FUTURE = "werde werden wird vais allons va voy vamos".split()
+WISH = "hope hopes wish wishes hoffe wünsche espère souhaite espero ojalá".split()
+INTO = "in".split()
 
 #: How many words a negation reaches.
 SCOPE = 3
+#: Words between an attack and its target, a threat and what leads it, a threat and its
+#: object, and words that may follow a report that ends its clause, at most.
+REACH, LEAD, OBJECT, BEHIND = 6, 3, 2, 2
 #: Lengths of word beginnings that the lexicon may hold beside whole words.
 STEMS = (4, 5, 6, 7)
-#: Labelled rows that the model is fitted on, at most, and entries of its lexicon.
-MAX_LABELLED, MAX_LEXICON = 20_000, 4_000
+#: Labelled rows that the model is fitted on, at most.
+MAX_LABELLED = 20_000
 #: Distinct toxic texts, and different surroundings in them, that an entry needs at least.
 LEAST = 3
 #: How many standard errors an entry's log-odds must lie above zero.
@@ -50,33 +68,91 @@ KINDS = ("plain", "aimed", "denied", "reported", "threat", "aimed_threat")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|[.!?;:\n\"“”„«»]")
 
 State = tuple
-#: (state, symbol) -> (next state, symbols written)
+#: (state, symbol) -> (next state, symbol with marks)
 Machine = Callable[[State, str], tuple[State, str]]
+ATTACK = ("INSULT", "THREAT")
+_QUOTES = frozenset('"“”„«»')
+
+
+def reporter(beside: int, symbol: str) -> tuple[int, str]:
+    """State: whether the last symbol was a report; a target beside one is no target."""
+    return int(symbol == "REPORT"), "OTHER" if beside and symbol in ("TARGET", "OWNER") else symbol
 
 
 def negation(left: int, symbol: str) -> tuple[int, str]:
-    """State: words still in the scope of a negation."""
+    """From the left. State: words still in the scope of a negation."""
     if symbol == "NEG":
         return SCOPE, symbol
-    marked = symbol + "-" if left and symbol in ("INSULT", "THREAT") else symbol
-    return max(0, left - 1), marked
+    return max(0, left - 1), symbol + "-" if left and symbol.startswith(ATTACK) else symbol
+
+
+def told(state: int, symbol: str) -> tuple[int, str]:
+    """From the left. State: 1 after a report, 2 within a quote; the end of a quote ends both."""
+    if symbol == "CLOSE":
+        return 0, symbol
+    if symbol in ("REPORT", "OPEN"):
+        return state | (1 if symbol == "REPORT" else 2), symbol
+    return state, symbol + "~" if state and symbol.startswith(ATTACK) else symbol
+
+
+def told_behind(state: int, symbol: str) -> tuple[int, str]:
+    """From the right. State: words since the end, or -1 before a report that ends the clause."""
+    if symbol == "OPEN":
+        return BEHIND + 1, symbol
+    if symbol == "CLOSE":
+        return state, symbol
+    if symbol == "REPORT" and 0 <= state <= BEHIND:
+        return -1, symbol
+    if state < 0:
+        return state, symbol + "~" if symbol.startswith(ATTACK) else symbol
+    return min(state + 1, BEHIND + 1), symbol
+
 
+def aimed(left: int, symbol: str) -> tuple[int, str]:
+    """Both ways. State: words still in the reach of a target."""
+    if symbol in ("TARGET", "OWNER"):
+        return REACH, symbol
+    return max(0, left - 1), symbol + ">" if left and symbol.startswith(ATTACK) else symbol
 
-def reported(inside: int, symbol: str) -> tuple[int, str]:
-    """State: whether somebody else's words are given."""
-    if symbol in ("REPORT", "QUOTE"):
-        return 1, symbol
-    return inside, symbol + "~" if inside and symbol.startswith(("INSULT", "THREAT")) else symbol
 
+def led(state: tuple[str, int, bool, bool], symbol: str) -> tuple[tuple[str, int, bool, bool], str]:
+    """From the left. State: what leads, words still in its reach, a person since then, a person just now.
 
-def aimed(seen: int, symbol: str) -> tuple[int, str]:
-    """State: whether a target was named."""
+    Marks on a verb: ``m`` behind a modal, ``w`` behind a wish for a person or "person should",
+    ``t`` for an object before the verb (where the language has it there), ``!`` as first word.
+    """
+    lead, left, person, just = state
+    if symbol in ("OPEN", "CLOSE"):
+        return state, symbol
+    if symbol in ("MODAL", "FUTURE", "WISH", "OUGHT"):
+        return (symbol, LEAD, symbol == "OUGHT" and just, False), symbol
+    if symbol.startswith("THREAT"):
+        marks = {
+            "START": "!", "MODAL": "m", "FUTURE": "mt" if person else "m",
+            "OUGHT": "mw" if person else "m", "WISH": "w" if person else "",
+        }.get(lead if left else "", "")
+        return ("", 0, False, False), symbol + marks
+    named = symbol == "TARGET"
+    return (lead, max(0, left - 1), person or named, named), symbol
+
+
+def ahead(state: tuple[int, int], symbol: str) -> tuple[tuple[int, int], str]:
+    """From the right. State: words still in the reach of a person, whether the saying ends here.
+
+    Marks on a verb: ``t`` for an object behind it, ``d`` for one right behind it, ``e`` where
+    the clause ends or goes on with "in".
+    """
+    left, ends = state
+    if symbol in ("OPEN", "CLOSE"):
+        return state, symbol
     if symbol == "TARGET":
-        return 1, symbol
-    return seen, symbol + ">" if seen and symbol.startswith(("INSULT", "THREAT")) else symbol
+        return (OBJECT, 0), symbol
+    if symbol.startswith("THREAT"):
+        symbol += ("t" if left else "") + ("d" if left == OBJECT else "") + ("e" if ends else "")
+    return (max(0, left - 1), int(symbol == "INTO")), symbol
 
 
-def composed(*machines: Callable[[int, str], tuple[int, str]]) -> Machine:
+def composed(*machines: Callable) -> Machine:
     """One machine that hands each symbol from one to the next."""
 
     def step(state: State, symbol: str) -> tuple[State, str]:
@@ -89,24 +165,46 @@ def composed(*machines: Callable[[int, str], tuple[int, str]]) -> Machine:
     return step
 
 
-GRAMMAR = composed(negation, reported, aimed)
-#: What a fully marked attack counts as; denial weighs more than report, report than aim.
-KIND_OF = {
-    (attack, denied, told, at): (
-        "denied" if denied else "reported" if told
-        else ("aimed" if at else "plain") if attack == "INSULT" else "aimed_threat" if at else "threat"
-    )
-    for attack in ("INSULT", "THREAT") for denied in (0, 1) for told in (0, 1) for at in (0, 1)
-}
+#: The passes over a clause: machine, its first state, whether it reads from the right.
+GRAMMAR = (
+    (composed(reporter), (0,), True),
+    (composed(reporter), (0,), False),
+    (composed(told_behind, aimed, ahead), (0, 0, (0, 1)), True),
+    (composed(negation, told, aimed, led), (0, 0, 0, ("START", 1, False, False)), False),
+)
+
+
+def marked(symbols: list[str]) -> list[str]:
+    """The symbols of a clause with all marks."""
+    for machine, state, backwards in GRAMMAR:
+        out = []
+        for symbol in reversed(symbols) if backwards else symbols:
+            state, symbol = machine(state, symbol)
+            out.append(symbol)
+        symbols = out[::-1] if backwards else out
+    return symbols
+
+
+def kind_of(symbol: str) -> str | None:
+    """What a marked attack counts as; denial weighs more than report, report than aim."""
+    if symbol.startswith("THREAT"):
+        at_person = "m" in symbol and "t" in symbol or "!" in symbol and "d" in symbol
+        if not at_person and not ("w" in symbol and "e" in symbol):
+            return None
+        kind = "aimed_threat" if at_person else "threat"
+    else:
+        kind = "aimed" if ">" in symbol else "plain"
+    return "denied" if "-" in symbol else "reported" if "~" in symbol else kind
 
 
-def clause_matches(symbols: list[tuple[str, float]]) -> Iterator[tuple[str, float]]:
-    """Kind and weight of each attack of one clause; a target anywhere in it aims them."""
-    state: State = (0, 0, int(any(s == "TARGET" for s, _ in symbols)))
-    for symbol, weight in symbols:
-        state, out = GRAMMAR(state, symbol)
-        if out.startswith(("INSULT", "THREAT")):
-            yield KIND_OF[out[:6], int("-" in out), int("~" in out), int(">" in out)], weight
+def clause_matches(clause: list[tuple[str, float]]) -> Iterator[tuple[str, float]]:
+    """Kind and weight of each attack that a path of the grammar matches in one clause."""
+    if sum(s not in ("OPEN", "CLOSE") for s, _ in clause) < 2:
+        return
+    for symbol, (_, weight) in zip(marked([s for s, _ in clause]), clause, strict=True):
+        kind = kind_of(symbol) if symbol.startswith(ATTACK) else None
+        if kind:
+            yield kind, weight
 
 
 class Lexicon:
@@ -115,9 +213,12 @@ class Lexicon:
     def __init__(self, insults: dict[str, float], stems: dict[str, float]):
         self.insults, self.stems = insults, stems
         self.fixed = {
-            **dict.fromkeys(TARGET, ("TARGET", 0.0)), **dict.fromkeys(REPORTED, ("REPORT", 0.0)),
-            **dict.fromkeys(THREAT, ("THREAT", 1.0)), **dict.fromkeys(NEGATION, ("NEG", 0.0)),
-            **dict.fromkeys('"“”„«»', ("QUOTE", 0.0)), **dict.fromkeys(".!?;:\n", ("END", 0.0)),
+            **dict.fromkeys(TARGET, ("TARGET", 0.0)), **dict.fromkeys(OWNER, ("OWNER", 0.0)),
+            **dict.fromkeys(REPORTED, ("REPORT", 0.0)), **dict.fromkeys(THREAT, ("THREAT", 1.0)),
+            **dict.fromkeys(NEGATION, ("NEG", 0.0)), **dict.fromkeys(MODAL, ("MODAL", 0.0)),
+            **dict.fromkeys(OUGHT, ("OUGHT", 0.0)), **dict.fromkeys(FUTURE, ("FUTURE", 0.0)),
+            **dict.fromkeys(WISH, ("WISH", 0.0)), **dict.fromkeys(INTO, ("INTO", 0.0)),
+            **dict.fromkeys(_QUOTES, ("QUOTE", 0.0)), **dict.fromkeys(".!?;\n", ("END", 0.0)), ":": ("COLON", 0.0),
         }
         self.known: dict[str, tuple[str, float] | None] = {}
 
@@ -132,29 +233,52 @@ class Lexicon:
         return ("INSULT", weight) if weight is not None else self.fixed.get(word)
 
     def symbols(self, words: list[str]) -> Iterator[list[tuple[str, float]]]:
-        """The clauses that hold an attack, as symbols; other words count as OTHER."""
+        """The clauses that hold an attack, as symbols; other words count as OTHER.
+
+        Quotes of a line open and close in turn; a last one without a partner is none. A
+        clause within a quote begins with OPEN. A colon ends a clause without a report.
+        """
         known, other = self.known, ("OTHER", 0.0)
         if len(known) > 300_000:
             known.clear()
-        for w in set(words):
+        vocabulary = set(words)
+        for w in vocabulary:
             if w not in known:
                 known[w] = self.read(w)
-        attacks = {w for w in set(words) if known[w] and known[w][0] in ("INSULT", "THREAT")}
+        attacks = {w for w in vocabulary if known[w] and known[w][0] in ATTACK}
         if not attacks:
             return
-        clause, hit = [], False
-        for w in words:
+        paired = self._paired(words) if not _QUOTES.isdisjoint(vocabulary) else {}
+        clause, hit, told, quoted = [], False, False, False
+        for i, w in enumerate(words):
             symbol = known[w] or other
-            if symbol[0] == "END":
+            if symbol[0] == "QUOTE":
+                if i in paired:
+                    quoted = not quoted
+                    clause.append(("OPEN" if quoted else "CLOSE", 0.0))
+            elif symbol[0] == "END" or symbol[0] == "COLON" and not told:
                 if hit:
                     yield clause
-                clause, hit = [], False
-            else:
+                clause, hit, told = [("OPEN", 0.0)] if quoted else [], False, False
+            elif symbol[0] != "COLON":
                 clause.append(symbol)
                 hit = hit or w in attacks
+                told = told or symbol[0] == "REPORT"
         if hit:
             yield clause
 
+    @staticmethod
+    def _paired(words: list[str]) -> set[int]:
+        """Where quotes stand that have a partner in their line."""
+        found, line = set(), []
+        for i, w in enumerate([*words, "\n"]):
+            if w in _QUOTES:
+                line.append(i)
+            elif w == "\n":
+                found.update(line[: len(line) // 2 * 2])
+                line = []
+        return found
+
 
 def tokens(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
@@ -246,7 +370,8 @@ def _contexts(rows: DataFrame, entries: list[str]) -> DataFrame:
 def learned_lexicon(rows: DataFrame) -> Lexicon:
     """Words and word beginnings that are surely commoner in toxic texts.
 
-    Each distinct text counts once for each of its labels, however many copies it has.
+    Each distinct text counts once for each of its labels, however many copies it has. All
+    such entries are kept; the bounded number of labelled rows bounds them.
     """
     rows = rows.dropDuplicates(["text", "toxic"]).persist()
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -255,7 +380,7 @@ def learned_lexicon(rows: DataFrame) -> Lexicon:
     bound = odds - STRICTNESS * F.sqrt(1 / a + 1 / b)
     ranked = (
         _counts(rows).where(F.col("toxic") >= LEAST).withColumn("odds", odds).withColumn("bound", bound)
-        .where("bound > 0").orderBy(F.desc("bound"), "entry").limit(MAX_LEXICON).collect()
+        .where("bound > 0").collect()
     )
     contexts = {r["entry"]: r["contexts"] for r in _contexts(rows, [r["entry"] for r in ranked]).collect()} if ranked else {}
     rows.unpersist()

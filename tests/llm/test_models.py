@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import itertools
 import math
 import re
 import time
@@ -39,6 +40,66 @@ def test_the_grammar_marks_attacks():
     assert kinds("you. an idiot") == [("plain", 4.0)]
     assert kinds("they will kill you, moronic") == [("aimed_threat", 1.0), ("aimed", 3.0)]
     assert kinds("nothing of that kind") == []
+    # Words on no path, alone, or in a command to no person.
+    assert kinds("Kill the process, then burn the disc.") == [] and kinds("idiot") == kinds('"idiot!"') == []
+    assert kinds("he will burn the disc") == kinds("will you kill the process?") == kinds("you should burn the disc") == []
+    # Reports behind an attack, across a colon, in quotes and after them; reporters are no targets.
+    assert kinds("an idiot, he said") == kinds("he said: you idiot") == kinds('so "you are an idiot" it went') == [("reported", 4.0)]
+    assert kinds('he said "go on", you idiot') == kinds('you idiot, "go on" he said') == [("aimed", 4.0)]
+    assert kinds('"Go on. You idiot. Now" he said') == [("reported", 4.0)]
+    assert kinds('a 5" disc, you idiot') == [("aimed", 4.0)]
+    assert kinds("note: you idiot") == [("aimed", 4.0)]
+    assert kinds("you read a long word and then one more about some idiot") == [("plain", 4.0)]
+    # Paths of threats.
+    assert kinds("kill them") == kinds("ich werde dich töten") == kinds("we are going to hurt you") == [("aimed_threat", 1.0)]
+    assert kinds("I hope you burn") == kinds("you should hang") == kinds("hope they burn in hell") == [("threat", 1.0)]
+    assert kinds("I will not kill you") == [("denied", 1.0)] and kinds("she said they will kill you") == [("reported", 1.0)]
+
+
+def brute_kinds(s):
+    """Kinds of the attacks of a clause without quotes, from the places of its symbols."""
+
+    def beside(i):
+        return any(0 <= j < len(s) and s[j] == "REPORT" for j in (i - 1, i + 1))
+
+    target = [x in ("TARGET", "OWNER") and not beside(i) for i, x in enumerate(s)]
+    person = [target[i] and x == "TARGET" for i, x in enumerate(s)]
+    leads = ("MODAL", "FUTURE", "WISH", "OUGHT")
+    out = []
+    for i, x in enumerate(s):
+        if x not in ("INSULT", "THREAT") or len(s) < 2:
+            continue
+        kind = "aimed" if any(target[max(0, i - toxicity.REACH):i + toxicity.REACH + 1]) else "plain"
+        if x == "THREAT":
+            # A lead reaches over words, up to the next lead or verb.
+            back = [j for j in range(i) if s[j] in (*leads, "THREAT")]
+            j = back[-1] if back and s[back[-1]] in leads and i - back[-1] <= toxicity.LEAD else None
+            between = j is not None and any(person[j + 1:i])
+            behind = any(person[i + 1:i + 1 + toxicity.OBJECT])
+            modal = j is not None and s[j] != "WISH" and (behind or s[j] == "FUTURE" and between)
+            command = i == 0 and person[1]
+            ends = i + 1 == len(s) or s[i + 1] == "INTO"
+            wish = j is not None and (
+                s[j] == "WISH" and between or s[j] == "OUGHT" and (between or j > 0 and person[j - 1])
+            )
+            if not (modal or command or wish and ends):
+                continue
+            kind = "aimed_threat" if modal or command else "threat"
+        if any(r == "REPORT" and (j < i or len(s) - 1 - j <= toxicity.BEHIND) for j, r in enumerate(s)):
+            kind = "reported"
+        if "NEG" in s[max(0, i - toxicity.SCOPE):i]:
+            kind = "denied"
+        out.append(kind)
+    return out
+
+
+def test_the_grammar_equals_brute_force_over_short_clauses():
+    alphabet = "INSULT THREAT TARGET OWNER NEG REPORT MODAL OUGHT FUTURE WISH INTO OTHER".split()
+    draw = np.random.default_rng(3)
+    clauses = [c for n in range(1, 5) for c in itertools.product(alphabet, repeat=n)]
+    clauses += [tuple(draw.choice(alphabet, int(draw.integers(5, 14)))) for _ in range(20_000)]
+    for clause in clauses:
+        assert [k for k, _ in toxicity.clause_matches([(s, 1.0) for s in clause])] == brute_kinds(clause), clause
 
 
 def test_toxic_documents_are_found_among_held_out_rows(spark):
