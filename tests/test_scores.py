@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
@@ -257,6 +258,43 @@ def test_priority_rank_of_fractions_is_the_priority_order(spark, make_trials):
     assert [r.item_id for r in review.priority_order(queue).collect()] == sorted(ranks, key=ranks.get)
 
 
+def judgments(spark, sets):
+    rows = [("grade", "cfg", "i", g, "; ".join(p), 1.0) for g, p in sets]
+    return spark.createDataFrame(
+        rows,
+        "stage string, config_identity string, item_id string, context_config_identity string, "
+        "prior_trials string, score_pct double",
+    )
+
+
+@pytest.mark.parametrize("universe, longest", [(6, 6), (12, 5), (60, 4)])
+def test_superseded_sets_equal_brute_force(spark, universe, longest):
+    draw = random.Random(universe)
+    names = [f"t{i}" for i in range(universe)]
+    sets = [(draw.choice("ab"), draw.sample(names, draw.randint(1, longest))) for _ in range(400)]
+    distinct = {(g, frozenset(p)) for g, p in sets}
+    expected = {(g, p) for g, p in distinct if any(g == h and p < q for h, q in distinct)}
+    found = lineage.superseded_sets(judgments(spark, sets)).collect()
+    assert {(r.context_config_identity, frozenset(r.priors)) for r in found} == expected
+    assert len(found) == len(expected)
+    assert lineage.superseded_sets(judgments(spark, sets).where("false")).count() == 0
+
+
+def test_sets_that_share_an_element_are_not_compared_in_pairs(spark, monkeypatch):
+    """No set is inside another, and the rarest member of each is in 40 of them."""
+    reached = []
+    inside = lineage._inside
+    monkeypatch.setattr(
+        lineage, "_inside",
+        lambda narrow, wide: (reached.append(1) or F.lit(True)) if wide == "wide" else inside(narrow, wide),
+    )
+    sets = [("a", ["x", "y", f"u{i % 40}", f"v{i // 40}", *([f"w{i}"] if i % 2 else [])]) for i in range(1600)]
+    standing, probes = lineage._ranked_sets(judgments(spark, sets))
+    assert probes.count() == len(sets) // 2
+    pairs = [f.count() for f in lineage._found_by_prefix(probes, standing)]
+    assert reached and sum(pairs) <= lineage.PAIRS_A_SET * len(sets)
+
+
 def test_supersession_needs_a_valid_strict_superset(make_trials):
     trials = make_trials(
         judged("j1", "A", 50.0, ["g1", "g2"]), judged("j2", "A", 50.0, ["g1", "g2", "g3"]),
