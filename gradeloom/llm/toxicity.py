@@ -153,14 +153,22 @@ def ahead(state: tuple[int, int], symbol: str) -> tuple[tuple[int, int], str]:
 
 
 def composed(*machines: Callable) -> Machine:
-    """One machine that hands each symbol from one to the next."""
+    """One machine that hands each symbol from one to the next.
+
+    Its transitions are kept as they come up: states and symbols are few.
+    """
+    transitions: dict[tuple[State, str], tuple[State, str]] = {}
 
     def step(state: State, symbol: str) -> tuple[State, str]:
-        after = []
+        known = transitions.get((state, symbol))
+        if known:
+            return known
+        after, out = [], symbol
         for own, machine in zip(state, machines, strict=True):
-            own, symbol = machine(own, symbol)
+            own, out = machine(own, out)
             after.append(own)
-        return tuple(after), symbol
+        transitions[state, symbol] = tuple(after), out
+        return transitions[state, symbol]
 
     return step
 
