@@ -425,11 +425,13 @@ def text_chars(v):
 )
 def incremental_doneness(v):
     folder = f"{checkpoint_dir(v.spark)}/t01-{uuid.uuid4().hex}"
-    v.kept_trials0.write.parquet(f"{folder}/trials")
+    # Every trial, in the columns that doneness is told from.
+    rows = v.trials0.select(*doneness.COLUMNS)
+    rows.write.parquet(f"{folder}/trials")
     # The same files twice: a trial already folded must not count again.
-    v.kept_trials0.write.mode("append").parquet(f"{folder}/trials")
+    rows.write.mode("append").parquet(f"{folder}/trials")
     stream = (
-        v.spark.readStream.schema(v.kept_trials0.schema)
+        v.spark.readStream.schema(rows.schema)
         .option("maxFilesPerTrigger", "6")
         .parquet(f"{folder}/trials")
     )

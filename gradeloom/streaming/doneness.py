@@ -14,6 +14,8 @@ from gradeloom.operators.planning import is_done
 from gradeloom.sources.staging import Files, commit, finish, new_stage
 
 _KEPT = [*K.TRIAL, *K.ITEM]
+#: The columns of a trial that ``valid_trials`` reads.
+COLUMNS = ["stage", "outcome", *_KEPT]
 #: Buckets of the table that ``fold_trials`` keeps.
 BUCKETS = 256
 #: Batch folders of like size that are merged into one.
