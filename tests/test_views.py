@@ -69,6 +69,18 @@ def test_trials_are_not_shuffled_by_name(spark, folder):
     assert "hashpartitioning(trial_name" not in plan
 
 
+def test_lines_are_shuffled_once_by_order(spark, folder):
+    """Neither the trials nor the stored files of them read the lines a second time."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        views = V.SparkViews(spark, folder)
+        for name in ("trials0", "record_docs"):
+            plan = getattr(views, name)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 2, name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_no_whole_rows_are_held(spark, folder):
     views = V.SparkViews(spark, folder)
     for name in ("trials0", "trials", "student_table", "queue", "record_docs", "result_docs", "artifact_docs"):
