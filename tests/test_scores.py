@@ -336,3 +336,16 @@ def test_empty_inputs_keep_their_columns(spark, make_trials):
     assert review.review_queue(trials).count() == 0
     conformed = schemas.conform(spark.createDataFrame([], "stage string"), schemas.TRIALS)
     assert conformed.columns == schemas.TRIALS.fieldNames() and len(conformed.columns) == 44
+
+
+def test_consistency_and_queue_order_each_group_in_one_shuffle(spark, make_trials):
+    """No step joins ranges of scores back to the rows, and the trials are read once."""
+    scores = [10.0, 30.0, 70.0, 70.0]
+    trials = make_trials(
+        *({"trial_name": f"t{i}", "item_id": "X", "score_pct": x} for i, x in enumerate(scores))
+    )
+    table = repeats.repeat_consistency(trials)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    row = table.first()
+    assert (row.n_gradings, row.median_score_pct, row.n_deviant_gradings) == (4, 50.0, 4)

@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.operators import digests
+from gradeloom.operators import digests, spread
 from gradeloom.operators.spread import (
     exact_quantiles,
+    grouped_with_median,
     join_on_keys,
     median_of,
     numbered,
@@ -103,6 +104,28 @@ def test_median_of_an_item_with_a_third_of_all_rows(spark):
     assert _largest_range(spark, counts, ["k"], ["x"]) < 0.5
 
 
+@pytest.mark.parametrize("crowded", [spread.CROWDED, 20])
+def test_grouped_median_by_key_and_by_ranges(spark, tmp_path, monkeypatch, crowded):
+    """Keys of few rows share one shuffle; larger ones go by ranges; both give the same rows."""
+    monkeypatch.setattr(spread, "CROWDED", crowded)
+    draw = random.Random(8)
+    values = {("hot", None): [draw.random() for _ in range(501)], (None, "x"): [5.0, 5.0], ("two", "y"): [1.0, 2.0]}
+    values |= {(f"k{i}", None): [float(draw.randint(0, 3)) for _ in range(draw.randint(1, 40))] for i in range(60)}
+    rows = [(*k, x) for k, own in values.items() for x in own]
+    spark.createDataFrame(rows, "k string, l string, x double").write.parquet(f"{tmp_path}/rows")
+    stored = spark.read.parquet(f"{tmp_path}/rows")
+    above = F.count_if(F.col("x") > F.col("median")).alias("above")
+    found = grouped_with_median(
+        stored, ["k", "l"], "x", [F.count(F.lit(1)).alias("n"), F.max("median").alias("m"), above]
+    )
+    shuffles = found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert (shuffles == 1) == (crowded > 20)
+    assert {(r.k, r.l): (r.n, r.m, r.above) for r in found.collect()} == {
+        k: (len(own), statistics.median(own), sum(x > statistics.median(own) for x in own))
+        for k, own in values.items()
+    }
+
+
 def test_null_keys_join(spark):
     left = spark.createDataFrame([(None, 1), ("a", 2)], "k string, x int")
     right = spark.createDataFrame([(None, 10), ("b", 20)], "k string, y int")
