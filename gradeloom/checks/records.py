@@ -484,8 +484,10 @@ def rubric_lines(v):
     where p_partkey % 7 not in (1, 2, 3, 4)""",
 )
 def parsed_criteria(v):
+    # The parts are a small file, and each stands for much work.
+    texts = v.rubric_texts.repartition(v.spark.sparkContext.defaultParallelism)
     return rubrics.rubric_criteria(
-        rubrics.parse_rubrics(v.rubric_texts.withColumn("sha256", F.sha2("text", 256)))
+        rubrics.parse_rubrics(texts.withColumn("sha256", F.sha2("text", 256)))
     )
 
 

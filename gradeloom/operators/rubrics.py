@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom import constants as C
+from gradeloom.functions import json_fields as J
 from gradeloom.functions.predicates import known
 from gradeloom.functions.scalars import strip
 
@@ -37,7 +38,8 @@ def parse_rubrics(files: DataFrame, text: str = "text") -> DataFrame:
         lambda line, i: F.struct((i + 1).alias("number"), strip(line).alias("text")),
     )
     lines = F.transform(F.filter(numbered, lambda x: x["text"].startswith(_TRIGGER)), parse)
-    parsed = files.withColumn("__lines", lines).withColumn("__ids", F.col("__lines.id"))
+    # Behind a generator: each check of each line would read the whole text again.
+    parsed = files.withColumn("__lines", J.once(lines)).withColumn("__ids", F.col("__lines.id"))
 
     def line_error(line: Column, index: Column) -> Column:
         code = (
