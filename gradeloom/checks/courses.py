@@ -429,7 +429,8 @@ def incremental_doneness(v):
     rows = v.trials0.select(*doneness.COLUMNS)
     rows.write.parquet(f"{folder}/trials")
     # The same files twice: a trial already folded must not count again.
-    rows.write.mode("append").parquet(f"{folder}/trials")
+    again = v.spark.read.schema(rows.schema).parquet(f"{folder}/trials")
+    again.write.mode("append").parquet(f"{folder}/trials")
     stream = (
         v.spark.readStream.schema(rows.schema)
         .option("maxFilesPerTrigger", "6")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,16 +16,10 @@ from gradeloom.sources.staging import Files, commit, finish, new_stage
 _KEPT = [*K.TRIAL, *K.ITEM]
 #: The columns of a trial that ``valid_trials`` reads.
 COLUMNS = ["stage", "outcome", *_KEPT]
-#: Buckets of the table that ``fold_trials`` keeps.
-BUCKETS = 256
 #: Batch folders of like size that are merged into one.
 MERGED = 8
 
 
-def _bucket() -> Column:
-    return F.pmod(F.xxhash64("job_name"), F.lit(BUCKETS)).cast("int")
-
-
 def valid_trials(trials: DataFrame, stage: str) -> DataFrame:
     """Trials that count as done; an attempt retried in place counts once valid."""
     return trials.where(is_stage(stage) & is_done()).dropna(subset=K.ITEM).select(*_KEPT)
@@ -71,35 +65,26 @@ def merge_batches(spark: SparkSession, target: str, before: int) -> None:
     if not chosen:
         return
     stage, newest = new_stage(), f"batch={max(chosen)}"
-    rows = stored_trials(spark, target).where(F.col("batch").isin(chosen)).drop("batch")
-    rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{target}/{stage}/{newest}")
+    rows = _appearances(spark, target).where(F.col("batch").isin(chosen)).drop("batch")
+    rows.write.parquet(f"{target}/{stage}/{newest}")
     commit(files, stage, [newest], [f"batch={b}" for b in chosen if b != max(chosen)])
 
 
 def fold_trials(stream: DataFrame, stage: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Append each micro-batch's new valid trials to a table; no state is kept.
+    """Append each micro-batch's valid trials to a table; no state is kept.
 
     A batch is written to its own folder, replaced as a whole when the batch is
-    retried, and reads only earlier batches, so a lost driver or executor changes
-    nothing. Trials lie in buckets by their job. A batch reads only the buckets of its
-    own jobs, so its cost follows those jobs and not the whole history. Folders of earlier
-    batches are merged on the way (``merge_batches``), so files follow the number of trials
-    and not that of batches. Nothing expires: a trial seen once is never counted again.
-    Totals are a plain count over the table.
+    retried, and reads nothing of the earlier ones, so a lost driver or executor changes
+    nothing and a batch costs what its own rows cost, however long the history is. Which
+    trials were seen before is told when the table is read (``stored_trials``). Folders of
+    earlier batches are merged on the way (``merge_batches``), so files follow the number
+    of rows and not that of batches. Nothing expires: a trial seen once is never counted
+    again.
     """
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = valid_trials(batch, stage).dropDuplicates(K.TRIAL).withColumn("bucket", _bucket())
-        if batch_id > 0:
-            merge_batches(spark, target, batch_id)
-            # At most ``BUCKETS`` numbers; they prune the folders that are read.
-            touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
-            seen = stored_trials(spark, target).where(
-                (F.col("batch") < batch_id) & F.col("bucket").isin(touched)
-            )
-            fresh = fresh.join(seen.select(*K.TRIAL), K.TRIAL, "left_anti")
-        fresh.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(
+        merge_batches(batch.sparkSession, target, batch_id)
+        valid_trials(batch, stage).withColumn("seen", F.lit(batch_id)).write.mode("overwrite").parquet(
             f"{target}/batch={batch_id}"
         )
 
@@ -111,12 +96,24 @@ def fold_trials(stream: DataFrame, stage: str, target: str, checkpoint: str) ->
     )
 
 
-def stored_trials(spark: SparkSession, target: str) -> DataFrame:
+def _appearances(spark: SparkSession, target: str) -> DataFrame:
+    """The folded rows as they came, with the batch that brought them in ``seen``."""
     finish(spark, target)
-    ddl = ", ".join(f"{c} string" for c in _KEPT) + ", batch int, bucket int"
+    ddl = ", ".join(f"{c} string" for c in _KEPT) + ", seen int, batch int"
     return spark.read.schema(ddl).parquet(target)
 
 
+def stored_trials(spark: SparkSession, target: str) -> DataFrame:
+    """Each trial folded so far as the first batch brought it; without a whole key, once a batch."""
+    unnamed = F.col("job_name").isNull() | F.col("trial_name").isNull()
+    return (
+        _appearances(spark, target)
+        .groupBy(*K.TRIAL, F.when(unnamed, F.col("seen")).alias("__of"))
+        .agg(F.min(F.struct("seen", *K.ITEM)).alias("first"))
+        .select(*K.TRIAL, *[f"first.{c}" for c in K.ITEM])
+    )
+
+
 def stored_totals(spark: SparkSession, target: str) -> DataFrame:
     """Done trials per item over everything folded so far."""
     return (

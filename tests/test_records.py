@@ -239,6 +239,42 @@ def test_rubric_parser(spark):
     ]
 
 
+def test_a_rubric_text_is_split_once(spark):
+    df = spark.createDataFrame([("- `a` (1 point): A",)], "text string")
+    plan = rubrics.parse_rubrics(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
+def test_an_item_is_read_once_and_its_document_has_one_check(spark):
+    item = '{"task_dir_name": "t", "item_id": "X"}'
+    texts = [f'{{"stage": "grade", "items": [{item}, 5, {{"item_id": "unnamed"}}]}}', f'[{item}]', '"grade"', "{", None]
+    docs = spark.createDataFrame([("grade", f"J{i}", t) for i, t in enumerate(texts)], "stage string, job_name string, text string")
+    items = trials.record_items(trials.parse_run_records(docs))
+    assert [(r.job_name, r.task_name, r.item_id) for r in items.collect()] == [("J0", "t", "X")]
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructField(task_dir_name") == 1 and plan.count("schemaOfVariant(try_variant_get(doc") == 1
+
+
+def test_a_batch_reads_nothing_of_the_earlier_ones(spark, make_trials, tmp_path, monkeypatch):
+    source, table, progress = (str(tmp_path / n) for n in ("trials", "table", "progress"))
+
+    def fold(*rows):
+        make_trials(*rows).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(make_trials().schema).parquet(source)
+        doneness.fold_trials(stream, "grade", table, progress).awaitTermination()
+
+    def unread(*_):
+        raise AssertionError("the table was read")
+
+    unnamed = {"trial_name": None, "item_id": "U"}
+    monkeypatch.setattr(doneness, "stored_trials", unread)
+    fold({"trial_name": "a", "item_id": "X"}, unnamed, unnamed)
+    fold({"trial_name": "a", "item_id": "Y"}, {"trial_name": "b", "item_id": "Y"}, unnamed)
+    monkeypatch.undo()
+    # The first batch tells a trial's item; a trial without a name counts once a batch.
+    assert sorted((r.item_id, r.existing) for r in doneness.stored_totals(spark, table).collect()) == [("U", 2), ("X", 1), ("Y", 1)]
+
+
 def test_streamed_doneness_equals_the_batch(spark, make_trials, tmp_path):
     rows = [{"trial_name": f"t{i}", "item_id": f"X{i % 4}", "outcome": "completed" if i % 3 else "timeout"}
             for i in range(24)]
