@@ -36,7 +36,7 @@ from gradeloom.llm.shared import stored, whole_text
 #: Bytes of text in a block, and its blocks that a task can number.
 BLOCK_BYTES, RUNS = 6_000_000, 1 << 24
 #: Units whose alignment a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 #: An id pair as one number: a * WIDTH + b.
 WIDTH = 1 << 20
 _SPACE = "▁"
@@ -308,8 +308,8 @@ def encoded(docs: DataFrame, byte_level: str, pieces: str, block_bytes: int = BL
             return pa.RecordBatch.from_pylist([{"block": task * RUNS + count, **made}], schema=schema)
 
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part = batch.slice(low, 1000)
+            for low in range(0, batch.num_rows, 200):
+                part = batch.slice(low, 200)
                 rows = list(block.take(part.column(1).to_pylist(), pair))
                 columns = [[task * RUNS + count] * len(rows), part.column(0).to_pylist(), *zip(*rows, strict=True)]
                 none = [None] * len(rows)
