@@ -84,9 +84,8 @@ def fold_trials(stream: DataFrame, stage: str, target: str, checkpoint: str) ->
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         merge_batches(batch.sparkSession, target, batch_id)
-        valid_trials(batch, stage).withColumn("seen", F.lit(batch_id)).write.mode("overwrite").parquet(
-            f"{target}/batch={batch_id}"
-        )
+        fresh = valid_trials(batch, stage).dropDuplicates(K.TRIAL).withColumn("seen", F.lit(batch_id))
+        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(fold)
