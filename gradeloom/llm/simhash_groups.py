@@ -8,9 +8,13 @@ The index holds each segment as it is, and once without each of its ``WEAK`` wea
 joined. A candidate pair whose bits are not far apart is verified by the distinct shingles
 themselves.
 
-Members of a key meet only its leaders, so rows grow with members and not with pairs. What
-that leaves open lies within families, the components of pairs near in their bits: there,
-members of parts that no verified pair links are compared chunk by chunk, in arrays.
+Members of a key meet only its leaders, so rows grow with members and not with pairs. That
+links most copies, and not all. An exact check follows: two texts alike to the threshold
+share a shingle among the first of each, in any order of all shingles that is the same for
+both. Those prefixes are dealt by shingle, rare ones first, and every pair of unlinked parts
+that meets there and is not ruled out by its sizes and places is verified. Where more than
+``HOT`` members share a shingle, no pairs are listed: the parts that meet are a family, whose
+members are compared chunk by chunk, in arrays.
 """
 
 from __future__ import annotations
@@ -35,6 +39,11 @@ BITS = SEGMENTS * SEGMENT
 RIDER_BITS, RIDER_LIMIT = 64, 19
 #: Members of one key that are read at a time.
 CHUNK = 4096
+#: Texts whose common shingles are counted together, and how many of the most frequent
+#: shingles are told to all tasks. Both set the order of shingles only, and so the work.
+COUNTED, KNOWN = 1000, 1 << 20
+#: Members of one shingle that are compared as listed pairs.
+HOT = 512
 #: About so many members, and bytes of their shingles, are one chunk of a family; shingles
 #: counted at once.
 MEMBERS, SET_BYTES, COLUMNS_AT_ONCE = 512, 8_000_000, 4096
@@ -66,25 +75,38 @@ def _print_of(hashes: np.ndarray) -> tuple[bytes, bytes]:
     return np.packbits(margin.ravel() > 0, bitorder="little").tobytes(), weak.astype(np.uint8).tobytes()
 
 
+def _node(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes()) - 2**63
+
+
 def prints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``doc_id, text_key, node, print, weak`` for every row; equal sets of shingles are a node."""
+    """``doc_id, text_key, node, print, weak`` for every row; equal sets of shingles are a node.
+
+    ``common``, in one row of up to ``COUNTED``: shingles that several of their sets hold, and
+    in how many.
+    """
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(2).to_pylist()]
-            made = [_print_of(s) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1),
-                 pa.array([xxhash.xxh64_intdigest(s.tobytes()) - 2**63 for s in sets], pa.int64()),
-                 pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())],
-                names=["doc_id", "text_key", "node", "print", "weak"],
-            )
+        for rows in batches:
+            for at in range(0, rows.num_rows, COUNTED):
+                batch = rows.slice(at, COUNTED)
+                sets = [np.unique(shingle_hashes(t, width)) for t in batch.column(2).to_pylist()]
+                made = [_print_of(s) for s in sets]
+                nodes = [_node(s) for s in sets]
+                held, n = np.unique(np.concatenate(list(dict(zip(nodes, sets, strict=True)).values())), return_counts=True)
+                common = np.column_stack([held[n > 1].view(np.int64), n[n > 1]]).tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()),
+                     pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary()),
+                     pa.array([common] + [None] * (len(sets) - 1), pa.binary())],
+                    names=["doc_id", "text_key", "node", "print", "weak", "common"],
+                )
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_key"),
         whole_text().alias("text"),
     )
-    return rows.mapInArrow(compute, "doc_id long, text_key long, node long, print binary, weak binary")
+    return rows.mapInArrow(compute, "doc_id long, text_key long, node long, print binary, weak binary, common binary")
 
 
 def index(nodes: DataFrame, whole: bool) -> DataFrame:
@@ -235,16 +257,132 @@ def near(nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     )
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, asked: DataFrame, width: int) -> DataFrame:
-    """``node, shingles`` of the nodes in ``asked (node)``, each from one text."""
-    wanted = nodes.join(asked, "node").select("node", "doc_id", "text_key")
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted (doc_id, text_key, ...)`` with their ``text``; a repeated document repeats its row."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("__id"), F.xxhash64(whole_text()).alias("__key"), whole_text().alias("text")
     )
-    texts = rows.join(
+    return rows.join(
         wanted, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__key") == F.col("text_key"))
-    ).select("node", "text")
-    return _shingles(texts, width).dropDuplicates(["node"])
+    ).drop("__id", "__key", "doc_id", "text_key")
+
+
+def _sets_of(docs: DataFrame, nodes: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """``node, shingles`` of the nodes in ``asked (node)``, each from one text."""
+    wanted = nodes.join(asked, "node").select("node", "doc_id", "text_key")
+    return _shingles(_texts_of(docs, wanted).select("node", "text"), width).dropDuplicates(["node"])
+
+
+def frequent(made: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The up to ``KNOWN`` most frequent shingles of ``made (common)``, sorted, and how often they were seen."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.column(0).to_pylist():
+                both = np.frombuffer(cell, dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, i].copy()) for i in (0, 1)], names=["shingle", "n"])
+
+    rows = made.where("common is not null").select("common").mapInArrow(listed, "shingle long, n long")
+    seen = stored(rows.groupBy("shingle").agg(F.sum("n").alias("n")).withColumn("power", F.floor(F.log2("n"))))
+    least, total = 64, 0
+    for power, n in sorted(seen.groupBy("power").count().collect(), reverse=True):
+        total += n
+        if total > KNOWN:
+            break
+        least = power
+    told = seen.where(F.col("power") >= least).select("shingle", "n").toArrow()
+    shingle, n = (told.column(i).to_numpy() for i in (0, 1))
+    order = np.argsort(shingle)
+    return shingle[order], n[order].astype(np.int32)
+
+
+def prefixes(texts: DataFrame, known: tuple[np.ndarray, np.ndarray], width: int, similarity: float) -> DataFrame:
+    """``key, node, part, size, place``: the first shingles of each of ``texts (node, part, text)``.
+
+    Shingles are ordered by how often ``known`` saw them, then by their hash. A text of
+    ``size`` shingles shares at least ``similarity`` times as many with whatever is alike, so
+    one of those is among all but the last of so many.
+    """
+    told = texts.sparkSession.sparkContext.broadcast(known)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, seen = told.value
+        for rows in batches:
+            for at in range(0, rows.num_rows, COUNTED):
+                batch = rows.slice(at, COUNTED)
+                sets = [np.unique(shingle_hashes(t, width)).view(np.int64) for t in batch.column(2).to_pylist()]
+                size = np.array([len(s) for s in sets], dtype=np.int64)
+                every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+                often = np.zeros(len(every), dtype=np.int32)
+                if len(shingle):
+                    found = np.minimum(np.searchsorted(shingle, every), len(shingle) - 1)
+                    often = np.where(shingle[found] == every, seen[found], 0)
+                order = np.lexsort((every, often, owner))
+                place = np.arange(len(every)) - np.repeat(np.cumsum(size) - size, size)
+                # A little less than the bound, so that no rounding leaves a shingle out.
+                first = place <= (size - np.ceil(similarity * size - 1e-6))[owner]
+                whose = owner[first]
+                columns = [every[order][first], batch.column(0).to_numpy()[whose], batch.column(1).to_numpy()[whose],
+                           size[whose].astype(np.int32), place[first].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "node", "part", "size", "place"])
+
+    return texts.select("node", "part", "text").mapInArrow(compute, "key long, node long, part long, size int, place int")
+
+
+def sharing(rows: DataFrame, similarity: float) -> DataFrame:
+    """``a, b, hot``: nodes of different parts that share one of their ``prefixes``.
+
+    Every pair that can be alike: at the first shingle that two texts share, what follows in
+    both is long enough for all that they must share. Where more than ``HOT`` members hold
+    a shingle, rows ``hot`` chain their parts instead.
+    """
+
+    def pairs_of(group: np.ndarray) -> list[np.ndarray]:
+        a, b = (group[i] for i in np.triu_indices(len(group), 1))
+        return possible(a, b)
+
+    def possible(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        both = similarity / (1 + similarity) * (a[:, 3] + b[:, 3]) - 1e-6
+        ok = (a[:, 2] != b[:, 2]) & (np.minimum(a[:, 3] - a[:, 4], b[:, 3] - b[:, 4]) >= both)
+        ok &= np.minimum(a[:, 3], b[:, 3]) >= similarity * np.maximum(a[:, 3], b[:, 3]) - 1e-6
+        return [np.column_stack([a[ok, 1], b[ok, 1]])]
+
+    def chain(group: np.ndarray) -> list[np.ndarray]:
+        at = np.flatnonzero(group[1:, 2] != group[:-1, 2])
+        return [np.column_stack([group[at, 1], group[at + 1, 1]])]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, hot_key = np.empty((0, 5), dtype=np.int64), None
+        for batch in batches:
+            block = np.concatenate([rest, np.column_stack([c.to_numpy() for c in batch.columns])])
+            start = np.flatnonzero(np.concatenate(([True], block[1:, 0] != block[:-1, 0])))
+            end = np.append(start[1:], len(block))
+            # Members lie in order of their parts. The last key may go on.
+            open_key = (block[start, 2] != block[end - 1, 2]) & (end < len(block))
+            two = start[open_key & (end - start == 2)]
+            pairs, chains = possible(block[two], block[two + 1]), []
+            for low, high in zip(start[open_key].tolist(), end[open_key].tolist(), strict=True):
+                if high - low > HOT or block[low, 0] == hot_key:
+                    chains += chain(block[low:high])
+                elif high - low > 2:
+                    pairs += pairs_of(block[low:high])
+            rest = block[start[-1] :]
+            if len(rest) > HOT or rest[0, 0] == hot_key:
+                chains += chain(rest)
+                rest, hot_key = rest[-1:], rest[0, 0]
+            yield from emit(pairs, chains)
+        if len(rest) and rest[0, 0] != hot_key:
+            yield from emit(pairs_of(rest), [])
+
+    def emit(pairs: list[np.ndarray], chains: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for found, hot in ((pairs, False), (chains, True)):
+            rows = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else ()
+            if len(rows):
+                ends = [pa.array(rows[:, i].copy()) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ends, pa.array(np.full(len(rows), hot))], names=["a", "b", "hot"])
+
+    dealt = rows.repartition("key").sortWithinPartitions("key", "part", "node")
+    return dealt.mapInArrow(scan, "a long, b long, hot boolean").distinct()
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -319,10 +457,10 @@ def forest(left: list[tuple], right: list[tuple], similarity: float) -> list[tup
 def within_families(
     docs: DataFrame, nodes: DataFrame, parts: DataFrame, pairs: DataFrame, width: int, similarity: float
 ) -> DataFrame:
-    """Links ``(a, b)`` between parts of a family that the pairs with leaders did not show.
+    """Links ``(a, b)`` between parts of a family whose pairs were not listed.
 
     A part of ``parts (node, part)`` is verified already. A family is a component of parts
-    that ``pairs`` (near in their bits) join. In a family every two members of different
+    that ``pairs`` (members of a shingle held by many) join. In a family every two members of different
     parts are compared: members lie in chunks of about ``MEMBERS`` and ``SET_BYTES``, each
     two chunks of a family are one row, whole shingle sets are compared in arrays, and only
     a forest of links comes out. A part that fills chunks has its own, which are not
@@ -365,15 +503,20 @@ def within_families(
     return rows.select("held_a", "held_b").mapInArrow(compare, "a long, b long")
 
 
+def _parts(nodes: DataFrame, linked: DataFrame) -> DataFrame:
+    """``node, part``: the component of each node, or itself."""
+    joined = connected(linked).withColumnRenamed("root", "part")
+    return nodes.select("node").join(joined, "node", "left").withColumn("part", F.coalesce("part", "node"))
+
+
 def one_of_each(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, in all columns, that stand for their group of near documents.
 
     Groups are the components of pairs alike to ``similarity`` or more; the row of the
     smallest ``doc_id`` stays (nulls rank last, then by a hash of the text). Documents with
     equal words are always one group, so of all documents without words one stays. Null
-    texts are empty. Repeated rows are a group; an empty table gives no rows. Linking at
-    exactly ``similarity`` finds a given pair with a probability that the segments set
-    (about 0.8 there, 0.95 at 0.85, 0.99 at 0.9); groups of more copies are surer.
+    texts are empty. Repeated rows are a group; an empty table gives no rows. No pair is left
+    out: what the segments do not show, the shared prefixes do.
     """
     made = stored(prints(docs, width))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key"))
@@ -393,10 +536,14 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILAR
         near(nodes, candidates(index(placed, whole=True).unionByName(index(placed, whole=False))), similarity)
     )
     linked = stored(linked.unionByName(verified(docs, nodes, more, width, similarity)))
-    # What was near its leader and not alike, or met only its leader, is compared within its family.
-    joined = connected(linked).withColumnRenamed("root", "part")
-    parts = stored(nodes.select("node").join(joined, "node", "left").withColumn("part", F.coalesce("part", "node")))
-    hidden = stored(within_families(docs, nodes, parts, whole.unionByName(more), width, similarity))
+    # What no segment showed, or met only its leader, meets by the shingles themselves.
+    parts = stored(_parts(nodes, linked))
+    texts = _texts_of(docs, nodes.join(parts, "node").select("node", "part", "doc_id", "text_key"))
+    shared = stored(sharing(prefixes(texts, frequent(made), width, similarity), similarity))
+    listed = shared.where("not hot").select("a", "b")
+    linked = stored(linked.unionByName(verified(docs, nodes, listed, width, similarity)))
+    parts = stored(_parts(nodes, linked))
+    hidden = stored(within_families(docs, nodes, parts, shared.where("hot").select("a", "b"), width, similarity))
     roots = connected(hidden).withColumnRenamed("node", "part")
     placed = nodes.join(parts, "node").join(roots, "part", "left")
     grouped = placed.groupBy(F.coalesce("root", "part").alias("root"))
