@@ -35,13 +35,15 @@ from gradeloom.llm.shared import stored, whole_text
 
 #: Bytes of text in a block, and its blocks that a task can number.
 BLOCK_BYTES, RUNS = 6_000_000, 1 << 24
-#: Units whose alignment a worker remembers.
-REMEMBERED = 120_000
+#: Units whose alignment a worker remembers since it last forgot some; before that, as many again.
+REMEMBERED = 240_000
 #: An id pair as one number: a * WIDTH + b.
 WIDTH = 1 << 20
 _SPACE = "▁"
 #: A space behind a character other than a space and before one that is no white space.
 _WORDS = re.compile("(?<=[^ ])(?= [^\\s᠎])")
+#: A space that does not begin a word; without any, the cuts are at all spaces.
+_ODD_SPACE = re.compile(r" (?:[\s\u180e]|\Z)")
 #: Latin and Cyrillic letters.
 _LETTER = "[A-Za-zÀ-ÖØ-öø-ɏЀ-ҁҊ-ӿ]"
 #: Between a letter and a stop; before and behind a single line break.
@@ -107,7 +109,9 @@ class Pair:
         ]
         plain = [n for i, n in enumerate(names) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
         self.separable = self._separable(plain)
+        #: Units met since the last change, and those met between the two changes before.
         self.known: dict[str, Record | None] = {}
+        self.earlier: dict[str, Record | None] = {}
         self.a_sizes = np.array([len(t) for t in self.a_bytes])
         self.b_sizes = np.array([len(t) for t in self.b_bytes])
         # An id as it stands inside a group, and at the end of its half of the group.
@@ -133,7 +137,10 @@ class Pair:
 
     def words(self, text: str) -> list[str]:
         """The added space and ``text``, cut before spaces."""
-        return _WORDS.split(" " + text) if self.separable else [" " + text]
+        if not self.separable:
+            return [" " + text]
+        joined = " " + text
+        return _WORDS.split(joined) if _ODD_SPACE.search(joined) else [" " + w for w in text.split(" ")]
 
     def align(self, words: list[str]) -> list[Record | None]:
         """The record of each word; None where the tokens' bytes are not the word's."""
@@ -141,9 +148,12 @@ class Pair:
         parts = [[w] if w[1:].isalpha() else cut(w) for w in words]
         new = set(chain.from_iterable(parts)).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+            # What has not been met for long is forgotten; what has, stays or comes back.
+            self.known, self.earlier = {}, self.known
             new = set(chain.from_iterable(parts))
-        units = list(new)
+        met = new.intersection(self.earlier)
+        self.known.update(zip(met, map(self.earlier.__getitem__, met), strict=True))
+        units = list(new - met)
         self.known.update(zip(units, self._aligned(units), strict=True))
         known, out = self.known, []
         for each in parts:

@@ -251,3 +251,27 @@ def test_bounds_hold_and_stop_early_where_vectors_are_apart():
         assert vec.tolist() == order.tolist() and score.tolist() == (x @ one)[order].astype(int).tolist()
         looked.append(done)
     assert np.mean(looked) < 2500
+
+
+def test_units_met_again_are_not_encoded_again(monkeypatch):
+    """More units than are remembered, and some that all batches hold: those are encoded once."""
+    monkeypatch.setattr(alignment, "REMEMBERED", 300)
+    pair, encoded = alignment.Pair(BYTES, PIECES), []
+    made = pair._aligned
+    monkeypatch.setattr(pair, "_aligned", lambda units: (encoded.extend(units), made(units))[1])
+    often = [" " + "abcdefghij"[i] * 3 for i in range(10)]
+    for batch in range(12):
+        words = [*often, *(f" word{batch}x{i}" for i in range(100))]
+        assert pair.align(words) == [alignment.Pair.align(pair, [w])[0] for w in words]
+    assert all(encoded.count(w) == 1 for w in often)
+    assert len(pair.known) + len(pair.earlier) <= 600
+
+
+def test_cuts_before_words_are_those_of_the_pattern():
+    pair = alignment.Pair(BYTES, PIECES)
+    assert pair.separable
+    parts = ["a", "b.", " ", "  ", "\n", "\t", "᠎", "　", "\x1c", "é", "▁", "-"]
+    draw = np.random.default_rng(3)
+    for _ in range(5000):
+        text = "".join(parts[i] for i in draw.integers(0, len(parts), draw.integers(0, 9)))
+        assert pair.words(text) == alignment._WORDS.split(" " + text)
