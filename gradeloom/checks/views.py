@@ -230,6 +230,8 @@ from pages cross join (select * from (values (1), (2), (3)) v(i)) c"""
 _CASES = VIEWS["f_priors"]
 _PRIOR = _CASES[_CASES.index("case when") : _CASES.index(" as prior_trials")]
 _N_PRIOR = _CASES[_CASES.index("case", _CASES.index(" as prior_trials")) : _CASES.index(" as n_prior")]
+# What a view that joins trials to their lines may name of a line.
+_LINE = "ok, ck, ln, pk, sk, x"
 SPARK_VIEWS: dict[str, str] = {
     "f_whole_lines": """
 select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice,
@@ -239,13 +241,13 @@ from lineitem""",
     .replace("cast(round(l_discount * 100) as int) as d", "d")
     .replace("cast(round(l_tax * 100) as int) as x", "x")
     .replace("from lineitem", "from f_whole_lines"),
-    "f_order_places": """
+    "f_order_places": f"""
 select *, case when ln in (2, 4, 6) and d between 3 and 9 then job_name || '/' || trial_name end as ref,
   sum(case when ln in (2, 4, 6) and d between 3 and 9 then 1 else 0 end) over (
     partition by ok order by job_name, trial_name rows between unbounded preceding and current row
   ) as place,
   count(*) over (partition by ok, job_name, trial_name) as n_same,
-  collect_list(struct(ok, ln, pk, sk, x)) over (partition by ok, job_name, trial_name) as lines
+  collect_list(struct({_LINE})) over (partition by ok, job_name, trial_name) as lines
 from f_lines""",
     "f_order_links": """
 select *, min(case when ln = 1 then trial_name end) over (partition by ok) as solve_trial,
@@ -272,7 +274,7 @@ from f_order_links""",
     ),
 }
 _BY_NAME = "f_trials0 t join f_lines l on t.trial_name = l.trial_name"
-_BY_ORDER = "f_order_trials t join lateral inline(t.same) as l(ok, ln, pk, sk, x)"
+_BY_ORDER = f"f_order_trials t join lateral inline(t.same) as l({_LINE})"
 
 _SHARED: dict[tuple[str, str], SparkViews] = {}
 

@@ -59,6 +59,15 @@ def test_views_by_order_have_the_rows_of_their_sql(spark, folder, name, monkeypa
     assert mine
 
 
+@pytest.mark.parametrize("name", ["artifact_files", "pool", "planned"])
+def test_views_may_name_what_they_need_of_a_line(spark, folder, name, monkeypatch):
+    """The files of a submission depend on the customer of the order."""
+    mine = sorted(map(repr, getattr(V.SparkViews(spark, folder), name).collect()))
+    monkeypatch.setattr(V, "_BY_ORDER", V._BY_NAME)
+    assert mine == sorted(map(repr, getattr(Plain(spark, folder), name).collect()))
+    assert mine
+
+
 def test_trials_are_not_shuffled_by_name(spark, folder):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
