@@ -130,6 +130,27 @@ def test_judge_quality(spark, make_trials):
     assert row.rate_completed == pytest.approx(4 / 5)
 
 
+def test_agreement_shuffles_by_group_once(spark, make_trials):
+    """Trials of one name and rows without a name meet as in a join."""
+    trials = make_trials(
+        *({"trial_name": name, "item_id": item, "score_pct": 1.0} for name, item in (
+            ("a", "i"), ("a", "i"), ("a", "k"), ("b", "i"), (None, "i"), ("c", None), ("d", None), ("e", "i"),
+        ))
+    )
+    criteria = spark.createDataFrame(
+        [("J", "a", "c1", 1.0), ("J", "b", "c1", 3.0), ("J", "b", None, 3.0), ("J", "e", None, 7.0),
+         ("J", None, "c1", 9.0), ("J", "c", "c1", 2.0), ("J", "d", "c1", 7.0), ("J", "x", "c1", 5.0)],
+        "job_name string, trial_name string, criterion_id string, points double",
+    )
+    agreement = quality.criterion_agreement(trials, criteria)
+    plan = agreement._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 3  # by part, by group, by config
+    (row,) = agreement.collect()
+    # 1, 1, 3 on c1 of i; 3, 7 on its unnamed one; 2, 7 on c1 of no item.
+    assert (row.n_pairs, row.criterion_exact_agreement_rate) == (5, pytest.approx(1 / 5))
+    assert row.criterion_mean_abs_diff == pytest.approx((0 + 2 + 2 + 4 + 5) / 5)
+
+
 def test_agreement_equals_all_pairs_within_tolerance(spark, make_trials):
     points = [1.0, 1.0 + 5e-10, 1.0 + 9e-10, 2.0, 2.0, 3.5, 1.0]
     trials = make_trials(*[graded(f"t{i}", "X", 50.0 + i) for i in range(len(points))])
