@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
 import pytest
@@ -96,6 +97,24 @@ def test_loading_a_data_root(spark, root):
     assert [(r.trial_name, r.criterion_id, r.points) for r in criteria.collect()] == [("x1", "a", 8.0)]
 
 
+def test_a_trial_meets_its_artifact_in_one_join(spark, root, tmp_path):
+    """Who is replaced is marked before the join, so artifacts are parsed once for all trials."""
+    records.read_grading_artifacts(spark, root).write.parquet(f"{tmp_path}/stored_artifacts")
+    settings = spark.createDataFrame(
+        [("g1", "t", 600.0)], "job_name string, task_name string, timeout_sec double"
+    )
+    table, criteria = trials.load_tables(
+        records.read_run_records(spark, root),
+        records.read_trial_results(spark, root),
+        spark.read.parquet(f"{tmp_path}/stored_artifacts"),
+        settings,
+    )
+    for rows in (table, criteria):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"FileScan parquet \[[^\]]*\btext#", plan)) == 1
+    assert table.count() == 4 and criteria.count() == 1
+
+
 def test_a_root_without_results_is_empty(spark, tmp_path):
     table, criteria = _load(spark, str(tmp_path))
     assert table.count() == 0 and criteria.count() == 0 and len(table.columns) == 44
